@@ -28,6 +28,10 @@ from marketloom.plans.daily import META_COLUMNS, clean_panel, feature_panel
 from marketloom.session import by_date, stage
 
 
+# Prices and means of cents often end on half a digit, which the engines round apart.
+NUDGE = 1.23457e-8
+
+
 def weekly(spark, sf, symbol=None):
     return bars(roles.ticks(spark, sf, symbol), "week")
 
@@ -60,8 +64,8 @@ def features(spark, sf, cfg=CleanConfig()):
 
 
 def _bars_query(unit):
-    digits = (4, "O", "H", "L", "C", "VAL")
-    cols = ", ".join(f"round({c}, 4) AS {c}" for c in ("O", "H", "L", "C", "VAL"))
+    digits = (8, "O", "H", "L", "C", "VAL")
+    cols = ", ".join(f"round({c}, 8) AS {c}" for c in ("O", "H", "L", "C", "VAL"))
     text = sql(
         f"SELECT symbol, dt, {cols}, V, inside_vol, outside_vol FROM ({bars_sql('ticks', unit)})",
         "ticks",
@@ -77,21 +81,21 @@ for _unit in ("day", "week", "month"):
 
 
 @query("s8_dense_panel", sql(
-    "SELECT dt, t, symbol, " + ", ".join(f"round({c}, 4) AS {c}" for c in PANEL_FIELDS)
+    "SELECT dt, t, symbol, " + ", ".join(f"round({c}, 8) AS {c}" for c in PANEL_FIELDS)
     + ", netbuy FROM cells", "cells"))
 def s8(spark, sf):
     out = cells(spark, sf).select("dt", "t", "symbol", *PANEL_FIELDS, "netbuy")
-    return rounded(out, 4, *PANEL_FIELDS)
+    return rounded(out, 8, *PANEL_FIELDS)
 
 
 @query("j5_panel_join", sql(
-    """SELECT b.symbol, b.dt, round(C, 4) AS C, netbuy, lot, industry, "group" FROM bars b
+    """SELECT b.symbol, b.dt, round(C, 8) AS C, netbuy, lot, industry, "group" FROM bars b
     LEFT JOIN flow f ON b.symbol = f.symbol AND b.dt = f.dt LEFT JOIN meta m ON m.symbol = b.symbol""",
     "bars", "flow", "meta"))
 def j5(spark, sf):
     out = join_inputs(weekly(spark, sf), roles.flow(spark, sf), roles.metadata(spark, sf))
     out = out.where("has_bar").select("symbol", "dt", "C", "netbuy", "lot", "industry", "group")
-    return rounded(out, 4, "C")
+    return rounded(out, 8, "C")
 
 
 @query("a1_symbols_dates", sql(
@@ -128,7 +132,7 @@ def l3(spark, sf):
 
 
 @query("p14_adjusted_prices", sql(
-    f"""SELECT symbol, dt, round(O * f, 4) AS O, round(H * f, 4) AS H, round(L * f, 4) AS L, round(C * f, 4) AS C
+    f"""SELECT symbol, dt, round(O * f + {NUDGE}, 6) AS O, round(H * f + {NUDGE}, 6) AS H, round(L * f + {NUDGE}, 6) AS L, round(C * f + {NUDGE}, 6) AS C
     FROM (SELECT *, CASE WHEN adj IS NULL THEN 1.0 ELSE {div('adj', 'C')} END AS f
           FROM (SELECT *, CASE WHEN day(dt) % 3 > 0 THEN C * (1 - day(dt) / 100) END AS adj FROM bars))""",
     "bars"))
@@ -136,25 +140,25 @@ def p14(spark, sf):
     day = F.dayofmonth("dt")
     adj = F.when(day % 3 > 0, F.col("C") * (1 - day / 100))
     out = adjust_prices(weekly(spark, sf).withColumn("adj_close", adj))
-    return rounded(out.select("symbol", "dt", "O", "H", "L", "C"), 4, "O", "H", "L", "C")
+    return out.select("symbol", "dt", *[F.round(F.col(c) + NUDGE, 6).alias(c) for c in "OHLC"])
 
 
 @query("w3_forward_fill", sql(
     "SELECT symbol, t, " + ", ".join(
-        f"round(last_value({c} IGNORE NULLS) OVER {PAST}, 4) AS {c}" for c in PANEL_FIELDS)
+        f"round(last_value({c} IGNORE NULLS) OVER {PAST}, 8) AS {c}" for c in PANEL_FIELDS)
     + " FROM cells", "cells"))
 def w3(spark, sf):
     out = impute(cells(spark, sf), PANEL_FIELDS, back=False)
-    return rounded(out.select("symbol", "t", *PANEL_FIELDS), 4, *PANEL_FIELDS)
+    return rounded(out.select("symbol", "t", *PANEL_FIELDS), 8, *PANEL_FIELDS)
 
 
 @query("w4_back_fill", sql(
     "SELECT symbol, t, " + ", ".join(
-        f"round(CASE WHEN last_value({c} IGNORE NULLS) OVER {PAST} IS NULL THEN first_value({c} IGNORE NULLS) OVER {WHOLE} ELSE {c} END, 4) AS {c}"
+        f"round(CASE WHEN last_value({c} IGNORE NULLS) OVER {PAST} IS NULL THEN first_value({c} IGNORE NULLS) OVER {WHOLE} ELSE {c} END, 8) AS {c}"
         for c in PANEL_FIELDS) + " FROM cells", "cells"))
 def w4(spark, sf):
     out = impute(cells(spark, sf), PANEL_FIELDS, forward=False)
-    return rounded(out.select("symbol", "t", *PANEL_FIELDS), 4, *PANEL_FIELDS)
+    return rounded(out.select("symbol", "t", *PANEL_FIELDS), 8, *PANEL_FIELDS)
 
 
 @query("p15_tradable", sql(
@@ -165,11 +169,11 @@ def p15(spark, sf):
 
 
 @query("q3a_clean_panel", sql(
-    "SELECT dt, t, symbol, " + ", ".join(f"round({c}, 4) AS {c}" for c in PANEL_FIELDS)
+    "SELECT dt, t, symbol, " + ", ".join(f"round({c}, 8) AS {c}" for c in PANEL_FIELDS)
     + ", netbuy, CAST(tradable_flag AS INTEGER) AS tradable_flag FROM panel", "panel"))
 def q3a(spark, sf):
     out = panel(spark, sf).select("dt", "t", "symbol", *PANEL_FIELDS, "netbuy", "tradable_flag")
-    return rounded(out, 4, *PANEL_FIELDS)
+    return rounded(out, 8, *PANEL_FIELDS)
 
 
 def _on_panel(name, expr, text, digits=6):
@@ -188,7 +192,7 @@ _on_panel(
     lambda: ft.bias(CleanConfig()),
     f"CASE WHEN count(C) OVER {rows(10)} = 10 THEN {chg('C', f'avg(C) OVER {rows(10)}')} END",
 )
-_on_panel("w8_adv", ft.adv, f"avg(VAL) OVER {rows(30)}", 2)
+_on_panel("w8_adv", lambda: ft.adv() + NUDGE, f"avg(VAL) OVER {rows(30)} + {NUDGE}", 3)
 _on_panel(
     "p16_garman_klass",
     lambda: garman_klass(F.col("O"), F.col("H"), F.col("L"), F.col("C")),
@@ -303,10 +307,10 @@ def w12(spark, sf):
 
 
 @query("a5_section_stats", sql(
-    f"SELECT dt, round(avg(VAL), 2) AS mean_val, round(stddev_pop(VAL), 2) AS std_val FROM {_SECTION} GROUP BY dt", "panel"))
+    f"SELECT dt, round(avg(VAL) + {NUDGE}, 3) AS mean_val, round(stddev_pop(VAL), 3) AS std_val FROM {_SECTION} GROUP BY dt", "panel"))
 def a5(spark, sf):
     out = section_stats(panel(spark, sf), ["VAL"])
-    return out.select("dt", F.round("_m_VAL", 2).alias("mean_val"), F.round("_s_VAL", 2).alias("std_val"))
+    return out.select("dt", F.round(F.col("_m_VAL") + NUDGE, 3).alias("mean_val"), F.round("_s_VAL", 3).alias("std_val"))
 
 
 @query("a7_exact_quantiles", sql(
@@ -314,10 +318,24 @@ def a5(spark, sf):
     round(quantile_cont(r, 0.75), 6) AS p75, round(quantile_cont(r, 0.99), 6) AS p99 FROM {_SECTION}
     WHERE r IS NOT NULL GROUP BY dt""", "panel"))
 def a7(spark, sf):
-    q = exact_quantiles(section(spark, sf), ["dt"], ["r"], [0.01, 0.5, 0.75, 0.99], by_date)
+    q = exact_quantiles(section(spark, sf).where("r IS NOT NULL"), ["dt"], ["r"], [0.01, 0.5, 0.75, 0.99], by_date)
     return q.select("dt", *[F.round(F.col("r_q")[i], 6).alias(n) for i, n in enumerate(("p01", "p50", "p75", "p99"))])
 
 
+@query("a7_bracketed_quantiles", sql(
+    f"""SELECT symbol, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.5), 6) AS p50,
+    round(quantile_cont(r, 0.95), 6) AS p95, round(quantile_cont(VAL, 0.5) + {NUDGE}, 4) AS val50 FROM {_SECTION}
+    GROUP BY symbol""", "panel"))
+def a7_bracketed(spark, sf):
+    """The way for large groups, on groups of any size."""
+    q = exact_quantiles(section(spark, sf), ["symbol"], ["r", "VAL"], [0.05, 0.5, 0.95], small_group=0)
+    return q.select(
+        "symbol",
+        *[F.round(F.col("r_q")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))],
+        F.round(F.col("VAL_q")[1] + NUDGE, 4).alias("val50"),
+    )
+
+
 @query("a4_finite_mean", sql(
     """SELECT l_suppkey, round(coalesce(avg(CASE WHEN l_discount > 0.02 THEN l_tax / l_discount END), 0.0), 8) AS mean_ratio
     FROM lineitem GROUP BY l_suppkey"""))
@@ -328,10 +346,10 @@ def a4(spark, sf):
     )
 
 
-@query("l7_preview", sql("SELECT symbol, t, round(C, 4) AS C FROM panel ORDER BY t DESC, symbol LIMIT 5", "panel"))
+@query("l7_preview", sql("SELECT symbol, t, round(C, 8) AS C FROM panel ORDER BY t DESC, symbol LIMIT 5", "panel"))
 def l7(spark, sf):
     out = panel(spark, sf).select("symbol", "t", "C").orderBy(F.desc("t"), "symbol").limit(5)
-    return rounded(out, 4, "C")
+    return rounded(out, 8, "C")
 
 
 @query("w11_rank_by_value", sql(

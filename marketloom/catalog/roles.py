@@ -46,7 +46,7 @@ def ticks(spark: SparkSession, sf: str, symbol: Column | None = None) -> DataFra
         (day * F.lit(1 << 40) + cents * 64 + qty).alias("seq"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         qty.alias("qty"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("val"),
+        F.col("l_extendedprice").alias("val"),
         F.when(F.col("l_returnflag") == "R", "OUT")
         .when(F.col("l_returnflag") == "A", "IN")
         .alias("side"),
@@ -85,6 +85,7 @@ def metadata(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             F.col("s_suppkey").cast("string").alias("symbol"),
             F.when(F.col("s_suppkey") % 10 == 0, 100).otherwise(1000).alias("lot"),
+            F.lit(1).alias("odd_lot_unit"),
             F.col("n_name").alias("industry"),
             F.col("r_name").alias("group"),
             F.when(F.col("s_suppkey") % 25 == 7, 0).otherwise(1).alias("tradable_flag"),

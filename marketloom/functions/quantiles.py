@@ -1,7 +1,8 @@
-"""Exact quantiles per group without gathering a group.
+"""Exact quantiles per group without gathering a large group.
 
-The built-in ``percentile`` keeps every distinct value of a group in one task. Here a mergeable
-sketch first gives a narrow bracket around each wanted rank. One more pass then counts the rows
+The built-in ``percentile`` keeps every distinct value of a group in one task. That is the
+quickest way as long as no group is large, which is counted first. For larger groups a mergeable
+sketch gives a narrow bracket around each wanted rank. One more pass then counts the rows
 between the brackets (collapsed to a counter on the map side) and keeps single values only
 inside them. Ranks come out exact; a group holding a third of all rows is just more input to
 the map-side counters. Both passes read ``df``, so hand in a staged table.
@@ -18,6 +19,8 @@ from pyspark.sql.window import Window
 SKETCH_ACCURACY = 10_000
 # Half-width of a bracket, in shares of the group; twice the error the sketch guarantees.
 BRACKET = 2.0 / SKETCH_ACCURACY
+# Largest group for the built-in: a task holds 128 groups of such values at most.
+SMALL_GROUP = 10_000
 
 
 def _zones(
@@ -105,12 +108,17 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     keep: Callable[[DataFrame], DataFrame] = lambda d: d,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per group; column ``<c>_q`` is the array of quantiles of ``c`` in ``probs`` order.
 
     ``keep`` may mark the table of brackets for broadcast where the caller knows its bound.
-    NULLs are left out; NaN must be NULL already.
+    NULLs are left out; NaN must be NULL already. The largest group is counted up front.
     """
+    probs = [float(p) for p in probs]
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= small_group:
+        return df.groupBy(*by).agg(*[F.percentile(c, probs).alias(f"{c}_q") for c in cols])
     ranked = _ranked(_zones(df, by, cols, probs, keep), by)
     per_name = ranked.groupBy(*by, "name").agg(
         F.array(*[_quantile(p) for p in probs]).alias("q")

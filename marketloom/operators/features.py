@@ -19,7 +19,7 @@ from marketloom.functions.scalars import (
     safe_div,
 )
 from marketloom.operators.panel import in_time
-from marketloom.session import by_date
+from marketloom.session import by_date, stage
 
 # A weight this small changes no double any more.
 NEGLIGIBLE = 1e-17
@@ -135,6 +135,9 @@ def time_features(panel: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFra
 
 
 def build_features(panel: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
-    """All ten features on a clean dense panel; non-finite results are NULL."""
-    out = turnover_share(time_features(panel, cfg))
+    """All ten features on a clean dense panel; non-finite results are NULL.
+
+    Staged before the turnover share, whose sums per date are a second reading of the panel.
+    """
+    out = turnover_share(stage(time_features(panel, cfg), "features"))
     return out.withColumns({f: finite(F.col(f)) for f in FEATURES})

@@ -34,9 +34,8 @@ def feature_panel(
     meta: DataFrame | None = None,
     cfg: CleanConfig = CleanConfig(),
 ) -> DataFrame:
-    """Q3: clean panel with the ten features, winsorised; staged where several passes read it."""
-    panel = stage(clean_panel(daily, cal, flow, meta, cfg), "panel")
-    features = build_features(panel, cfg)
+    """Q3: clean panel with the ten features, winsorised."""
+    features = build_features(clean_panel(daily, cal, flow, meta, cfg), cfg)
     if cfg.winsorize_p <= 0:
         return features
-    return winsorize(stage(features, "features"), FEATURES, cfg.winsorize_p, cfg.winsorize_by)
+    return winsorize(features, FEATURES, cfg.winsorize_p, cfg.winsorize_by)
