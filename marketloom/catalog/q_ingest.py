@@ -410,9 +410,9 @@ def p10(spark, sf):
         .when(k % 4 == 2, day)
         .otherwise(F.concat_ws(",", day, F.lit(" "), price, price, price, price, F.lit("1"), F.lit("1")))
     )
-    header = spark.range(1).select(F.lit("date,code,O,H,L,C,V,VAL").alias("value"))
-    body = roles.table(spark, sf, "orders").select(line.alias("value"))
-    header.unionByName(body).write.text(path)
+    lines = roles.table(spark, sf, "orders").select(line.alias("date,code,O,H,L,C,V,VAL"))
+    plain = lines.write.option("header", True).option("sep", "\u0001").option("quote", "\u0002")
+    plain.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return csv_source.read_daily(spark, path, toggle_quotes=True).select("dt", "symbol", "C")
 
 

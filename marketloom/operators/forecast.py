@@ -55,64 +55,60 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def daily_gram(labelled: DataFrame, xs: Sequence[str], y: str = "label") -> DataFrame:
-    """X'X and X'y per date over the rows with a label; dates without any hold zeros."""
-    known = F.col(y).isNotNull()
+def gram_layout(p: int) -> list[str]:
+    """Order of the sums in a gram array: upper triangle of X'X by rows, X'y, row count."""
+    return [*[f"g_{i}_{j}" for i, j in _pairs(p)], *[f"b_{i}" for i in range(p)], "n"]
 
-    def total(product: Column) -> Column:
-        return F.coalesce(F.sum(F.when(known, product)), F.lit(0.0))
 
-    g = [total(F.col(xs[i]) * F.col(xs[j])).alias(f"g_{i}_{j}") for i, j in _pairs(len(xs))]
-    b = [total(F.col(x) * F.col(y)).alias(f"b_{i}") for i, x in enumerate(xs)]
-    return labelled.groupBy("dt", "t").agg(F.count(y).alias("n"), *g, *b)
+def daily_gram(labelled: DataFrame, xs: Sequence[str], y: str = "label") -> DataFrame:
+    """(dt, t, gram) over the rows with a label; dates without any hold zeros."""
+    products = [
+        *[f"CASE WHEN {y} IS NOT NULL THEN {xs[i]} * {xs[j]} END" for i, j in _pairs(len(xs))],
+        *[f"{x} * {y}" for x in xs],
+        f"CASE WHEN {y} IS NOT NULL THEN 1D END",
+    ]
+    sums = ", ".join(f"coalesce(sum({e}), 0D)" for e in products)
+    return labelled.groupBy("dt", "t").agg(F.expr(f"array({sums})").alias("gram"))
 
 
 def trailing_gram(gram: DataFrame, cfg: TrainConfig) -> DataFrame:
     """Decayed sums over the days [t - W, t - 1]; the newest of them has weight 1.
 
-    One row per date goes in, so the window without a partition is as long as the calendar.
-    Days are rebased per W-day block to keep the growing weights far from overflow.
+    Each sum of the gram array becomes its own window partition of one row per date. The weights
+    grow along a block of W days and start again with the next one, so they cannot overflow; a
+    window touches two blocks at most, told apart by parity.
     """
     if cfg.window / cfg.half_life > 400:
         raise ValueError("window too long for its half-life")
-    sums = [c for c in gram.columns if c not in ("dt", "t", "n")]
-    block = F.floor(F.col("t") / cfg.window)
-    grow = F.pow(F.lit(2.0), (F.col("t") - block * cfg.window) / cfg.half_life)
-    own = Window.orderBy("t").rangeBetween(-cfg.window, -1)
+    w, hl = cfg.window, cfg.half_life
+    n_at = F.size("gram") - 1
+    long = gram.select("dt", "t", n_at.alias("n_at"), F.posexplode("gram").alias("k", "v"))
+    block = F.floor(F.col("t") / w)
+    # The row count is a plain sum.
+    grow = F.when(F.col("k") == F.col("n_at"), F.lit(1.0)).otherwise(
+        F.pow(F.lit(2.0), (F.col("t") - block * w) / hl)
+    )
+    scaled = long.withColumns({"even": block % 2 == 0, "x": F.col("v") * grow})
+    own = Window.partitionBy("k").orderBy("t").rangeBetween(-w, -1)
+
+    def total(parity: Column) -> Column:
+        return F.coalesce(F.sum(F.when(parity, F.col("x"))).over(own), F.lit(0.0))
+
     last = F.col("t") - 1
-    # A window of W days touches two blocks at most: that of its last day and the one before.
-    last_block = F.floor(last / cfg.window)
-    shrink = F.pow(F.lit(2.0), -(last - last_block * cfg.window) / cfg.half_life)
-    older = F.pow(F.lit(2.0), F.lit(-cfg.window / cfg.half_life))
-
-    scaled = gram.withColumns({"_blk": block, **{c: F.col(c) * grow for c in sums}})
-    even = F.col("_blk") % 2 == 0
-
-    def split(c: str, parity: Column) -> Column:
-        return F.coalesce(F.sum(F.when(parity, F.col(c))).over(own), F.lit(0.0))
-
-    last_even = last_block % 2 == 0
-    wide = scaled.select(
-        "dt",
-        "t",
-        F.coalesce(F.sum("n").over(own), F.lit(0)).alias("n"),
-        *[split(c, even).alias(f"{c}_e") for c in sums],
-        *[split(c, ~even).alias(f"{c}_o") for c in sums],
+    newer = F.floor(last / w)
+    sums = scaled.select(
+        "dt", "t", "k", "n_at", total(F.col("even")).alias("e"), total(~F.col("even")).alias("o")
+    )
+    new = F.when(newer % 2 == 0, F.col("e")).otherwise(F.col("o"))
+    old = F.when(newer % 2 == 0, F.col("o")).otherwise(F.col("e"))
+    decayed = (new + old * 2.0 ** (-w / hl)) * F.pow(F.lit(2.0), -(last - newer * w) / hl)
+    value = F.when(F.col("k") == F.col("n_at"), F.col("e") + F.col("o")).otherwise(decayed)
+    packed = (
+        sums.groupBy("dt", "t")
+        .agg(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))).alias("g"))
+        .select("dt", "t", F.transform("g", lambda x: x.v).alias("gram"))
     )
-    return wide.select(
-        "dt",
-        "t",
-        "n",
-        *[
-            (
-                F.when(last_even, F.col(f"{c}_e") + F.col(f"{c}_o") * older).otherwise(
-                    F.col(f"{c}_o") + F.col(f"{c}_e") * older
-                )
-                * shrink
-            ).alias(c)
-            for c in sums
-        ],
-    ).where("n > 0")
+    return packed.where(F.element_at("gram", -1) > 0)
 
 
 def ridge(g: np.ndarray, b: np.ndarray, lam: float) -> np.ndarray:
@@ -145,20 +141,27 @@ def lasso(g: np.ndarray, b: np.ndarray, lam: float, max_iter: int, tol: float) -
 
 def fit(trailing: DataFrame, p: int, cfg: TrainConfig) -> DataFrame:
     """M2, M3: (dt, t, n, beta) per date."""
-    pairs = _pairs(p)
+    upper = np.triu_indices(p)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            if rows.empty:
+                continue
+            sums = np.stack(rows["gram"].to_numpy())
             g = np.zeros((len(rows), p, p))
-            for i, j in pairs:
-                g[:, i, j] = g[:, j, i] = rows[f"g_{i}_{j}"].to_numpy()
-            b = rows[[f"b_{i}" for i in range(p)]].to_numpy()
+            g[:, upper[0], upper[1]] = g[:, upper[1], upper[0]] = sums[:, : len(upper[0])]
+            b = sums[:, len(upper[0]) : -1]
             if cfg.model == "LASSO":
                 beta = lasso(g, b, cfg.lam, cfg.lasso_max_iter, cfg.lasso_tol)
             else:
                 beta = ridge(g, b, cfg.lam)
             yield pd.DataFrame(
-                {"dt": rows["dt"], "t": rows["t"], "n": rows["n"], "beta": list(beta)}
+                {
+                    "dt": rows["dt"],
+                    "t": rows["t"],
+                    "n": sums[:, -1].astype("int64"),
+                    "beta": list(beta),
+                }
             )
 
     return trailing.mapInPandas(solve, "dt date, t int, n bigint, beta array<double>")

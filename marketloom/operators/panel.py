@@ -75,6 +75,14 @@ def calendar(days: DataFrame) -> DataFrame:
     )
 
 
+def nth_last(cal: DataFrame, n: int = 2) -> int:
+    """L3: ordinal of the ``n``-th last date, by default the day before the last one."""
+    row = cal.where(F.col("t") == F.col("n_dates") - n).select("t").first()
+    if row is None:
+        raise ValueError(f"need at least {n} dates")
+    return row.t
+
+
 def join_inputs(daily: DataFrame, flow: DataFrame | None, meta: DataFrame | None) -> DataFrame:
     """Prices with flow on (symbol, dt) and metadata on symbol.
 

@@ -1,12 +1,17 @@
-"""The daily chain: panel with features (Q3), risk and forecast (Q4, Q5)."""
+"""The daily chain: panel with features (Q3), risk and stage-1 forecast (Q4), forecast (Q5)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from marketloom.config import FEATURES, CleanConfig
+from marketloom.config import FEATURES, STAGE1, CleanConfig, Config, RiskConfig, TrainConfig
 from marketloom.operators.crosssection import winsorize
+from marketloom.operators import forecast as fc
 from marketloom.operators.features import build_features
+from marketloom.operators.risk import liquidity_scaled_risk
 from marketloom.operators.panel import clean, dense_panel, join_inputs
 from marketloom.session import stage
 
@@ -39,3 +44,45 @@ def feature_panel(
     if cfg.winsorize_p <= 0:
         return features
     return winsorize(features, FEATURES, cfg.winsorize_p, cfg.winsorize_by)
+
+
+def fitted(
+    sections: DataFrame, cfg: TrainConfig = TrainConfig(), xs: Sequence[str] = FEATURES
+) -> DataFrame:
+    """M2, M3: (dt, t, n, beta) for every date with a training window."""
+    cols = [f"{x}_z" for x in xs]
+    gram = fc.daily_gram(sections, cols)
+    return fc.fit(fc.trailing_gram(gram, cfg), len(cols), cfg)
+
+
+def forecast(
+    features: DataFrame,
+    cfg: Config = Config(),
+    target: str = "CC",
+    xs: Sequence[str] = FEATURES,
+    scores: DataFrame | None = None,
+) -> DataFrame:
+    """Q5 for all dates at once: raw, calibrated and enhanced forecast per (dt, symbol)."""
+    sections = fc.labelled_sections(stage(features, "features"), target, cfg.standardize)
+    beta = stage(fitted(sections, cfg.train, xs), "beta")
+    raw = fc.raw_score(sections, beta, [f"{x}_z" for x in xs])
+    if scores is not None:
+        raw = fc.external_score(raw, scores)
+    return fc.enhance(fc.calibrate(stage(raw, "raw"), cfg.calibrate), cfg.enhance)
+
+
+def risk_and_stage1(
+    features: DataFrame, at: int, risk: RiskConfig = RiskConfig(), train: TrainConfig = STAGE1
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Q4: names with volatility, covariance pairs, and the raw forecast of day ``at``.
+
+    Only the days that day ``at`` looks back on are read.
+    """
+    features = stage(features, "features")
+    names, cov = liquidity_scaled_risk(features, at, risk)
+    recent = features.where(F.col("t").between(at - train.window, at))
+    sections = fc.labelled_sections(recent, "CC")
+    beta = fitted(sections, train).where(F.col("t") == at)
+    today = sections.where(F.col("t") == at)
+    raw = fc.raw_score(today, stage(beta, "beta"), [f"{x}_z" for x in FEATURES])
+    return names, cov, raw.select("dt", "symbol", "rhat_raw")

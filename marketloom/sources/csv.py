@@ -61,7 +61,7 @@ def read_named_csv(spark: SparkSession, path: str, toggle_quotes: bool = False)
         same = F.lit(True)
         for k, i in keys.items():
             if k:
-                same = same & F.col(k).eqNullSafe(F.lit(names[i]))
+                same = same & F.col(f"`{k}`").eqNullSafe(F.lit(names[i]))
         out = out.where(~same)
     return out
 
