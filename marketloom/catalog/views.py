@@ -161,7 +161,7 @@ _chain("n", "CAST(l_partkey % 64 AS VARCHAR)", "CAST(o_custkey % 64 AS VARCHAR)"
 view(
     "quotes",
     """SELECT 'X' || CAST(user_id % 3 AS VARCHAR) AS exchange, CAST(user_id AS VARCHAR) AS symbol, ts,
-        event_id AS seq, value AS price, k * 0.5 AS bid, k * 0.5 + 20 AS ask, k AS qty
+        event_id AS seq, value AS price, k * CAST(0.5 AS DOUBLE) AS bid, k * CAST(0.5 AS DOUBLE) + 20 AS ask, k AS qty
     FROM (SELECT *, CAST(props::JSON ->> '$.k' AS BIGINT) AS k FROM events)""",
 )
 view(

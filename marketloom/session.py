@@ -24,6 +24,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
         .appName("marketloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small test tables: keep all cores busy instead of merging everything into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
