@@ -23,7 +23,7 @@ from marketloom.operators.crosssection import finite_mean, section_stats, winsor
 from marketloom.operators.flow import last_dates, trading_dates, universe
 from marketloom.operators.forecast import target_return
 from marketloom.operators.panel import adjust_prices, bars, dense_panel, impute, join_inputs, mark_tradable
-from marketloom.operators.risk import close_return
+from marketloom.operators.risk import with_close_return
 from marketloom.plans.daily import META_COLUMNS, clean_panel, feature_panel
 from marketloom.session import by_date, stage
 
@@ -181,7 +181,12 @@ def _on_panel(name, expr, text, digits=6):
 
     @query(name, sql(f"SELECT symbol, t, round({text}, {digits}) AS value FROM panel", "panel"))
     def run(spark, sf):
-        return panel(spark, sf).select("symbol", "t", F.round(expr(), digits).alias("value"))
+        what, df = expr(), panel(spark, sf)
+        if isinstance(what, tuple):
+            df = ft.with_changes(df, value=what)
+        else:
+            df = df.withColumn("value", what)
+        return df.select("symbol", "t", F.round("value", digits).alias("value"))
 
 
 _on_panel("w1_gap", ft.gap, chg("O", f"lag(C) OVER {W}"))
@@ -189,7 +194,7 @@ for _k in (5, 10, 20):
     _on_panel(f"w2_momentum_{_k}", lambda k=_k: ft.momentum(k), chg("C", f"lag(C, {_k}) OVER {W}"))
 _on_panel(
     "w5_bias_ma",
-    lambda: ft.bias(CleanConfig()),
+    ft.bias,
     f"CASE WHEN count(C) OVER {rows(10)} = 10 THEN {chg('C', f'avg(C) OVER {rows(10)}')} END",
 )
 _on_panel("w8_adv", lambda: ft.adv() + NUDGE, f"avg(VAL) OVER {rows(30)} + {NUDGE}", 3)
@@ -224,9 +229,8 @@ _on_panel("w9_label_oc", lambda: target_return("OC"), chg(f"lead(C) OVER {W}", f
     FROM panel s LEFT JOIN panel b ON b.symbol = s.symbol AND b.t = s.t - 5
     LEFT JOIN panel n ON n.symbol = s.symbol AND n.t = s.t + 1""", "panel"))
 def j6(spark, sf):
-    return panel(spark, sf).select(
-        "symbol", "t", F.round(ft.momentum(5), 6).alias("mom5"), F.round(target_return("CC"), 6).alias("label")
-    )
+    out = ft.with_changes(panel(spark, sf), mom5=ft.momentum(5), label=target_return("CC"))
+    return rounded(out.select("symbol", "t", "mom5", "label"), 6, "mom5", "label")
 
 
 @query("w6_ema_3", sql(
@@ -251,7 +255,7 @@ def w6_half_life(spark, sf):
     f"""SELECT symbol, t, round(CASE WHEN count(r) OVER {rows(30)} > 1 THEN stddev_samp(r) OVER {rows(30)} END, 6) AS value
     FROM (SELECT symbol, t, {chg('C', f'lag(C) OVER {W}')} AS r FROM panel)""", "panel"))
 def w7(spark, sf):
-    r = panel(spark, sf).select("symbol", "t", close_return().alias("r"))
+    r = with_close_return(panel(spark, sf))
     return r.select("symbol", "t", F.round(ft.rolling_std("r", 30), 6).alias("value"))
 
 
@@ -272,8 +276,7 @@ def q3(spark, sf):
 
 def section(spark, sf):
     """Week returns and traded values as a cross-section, staged."""
-    out = panel(spark, sf).select("dt", "t", "symbol", "VAL", close_return().alias("r"))
-    return stage(out, "section")
+    return stage(with_close_return(panel(spark, sf)).select("dt", "t", "symbol", "VAL", "r"), "section")
 
 
 _SECTION = f"(SELECT dt, t, symbol, VAL, {chg('C', f'lag(C) OVER {W}')} AS r FROM panel)"

@@ -25,29 +25,39 @@ from marketloom.session import by_date, stage
 NEGLIGIBLE = 1e-17
 
 
+Pair = tuple[Column, Column]
+
+
 def change(now: Column, before: Column) -> Column:
     return safe_div(now - before, before)
 
 
-def gap() -> Column:
+def with_changes(df: DataFrame, **pairs: Pair) -> DataFrame:
+    """Relative change of each (now, before) pair.
+
+    Both sides become columns first: a window inside a guarded division would otherwise be
+    evaluated once per mention.
+    """
+    sides = {f"_{k}_{i}": side for k, pair in pairs.items() for i, side in enumerate(pair)}
+    out = df.withColumns(sides)
+    done = {k: change(F.col(f"_{k}_0"), F.col(f"_{k}_1")) for k in pairs}
+    return out.withColumns(done).drop(*sides)
+
+
+def gap() -> Pair:
     """Open against the last close."""
-    return change(F.col("O"), F.lag("C", 1).over(in_time()))
+    return F.col("O"), F.lag("C", 1).over(in_time())
 
 
-def momentum(k: int) -> Column:
+def momentum(k: int) -> Pair:
     """W2."""
-    return change(F.col("C"), F.lag("C", k).over(in_time()))
+    return F.col("C"), F.lag("C", k).over(in_time())
 
 
 def trailing_mean(c: str, n: int) -> Column:
     return F.avg(c).over(in_time().rowsBetween(-(n - 1), 0))
 
 
-def full_frame(value: Column, c: str, n: int) -> Column:
-    """NULL until ``n`` values are there."""
-    return F.when(F.count(c).over(in_time().rowsBetween(-(n - 1), 0)) == n, value)
-
-
 def adv(n: int = 30) -> Column:
     """Mean traded value over the last ``n`` rows, fewer at the start."""
     return trailing_mean("VAL", n)
@@ -91,11 +101,10 @@ def with_ema(panel: DataFrame, value: Column, alpha: float, name: str) -> DataFr
     return summed.withColumn(name, ema).drop("_x", "_k", "_b", "_j", "_s")
 
 
-def bias(cfg: CleanConfig) -> Column:
-    """W5 with a moving average; NULL until the average has all its rows."""
-    n = cfg.bias_ma_n
-    mean = trailing_mean("C", n)
-    return full_frame(change(F.col("C"), mean), "C", n)
+def bias(n: int = 10) -> Pair:
+    """W5 with a moving average; NULL until the average has all its ``n`` rows."""
+    frame = in_time().rowsBetween(-(n - 1), 0)
+    return F.col("C"), F.when(F.count("C").over(frame) == n, trailing_mean("C", n))
 
 
 def turnover_share(panel: DataFrame, name: str = "turnover_share") -> DataFrame:
@@ -111,24 +120,21 @@ def turnover_share(panel: DataFrame, name: str = "turnover_share") -> DataFrame:
 
 def time_features(panel: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """Every feature that needs one symbol only, and ADV."""
-    out = panel.withColumns(
+    pairs = {"gap": gap(), "mom5": momentum(5), "mom10": momentum(10), "mom20": momentum(20)}
+    if cfg.bias_use_ema:
+        alpha = ema_alpha_from_half_life(cfg.bias_ema_half_life)
+        panel = with_ema(panel, F.col("C"), alpha, "_ema")
+        pairs["bias"] = (F.col("C"), F.col("_ema"))
+    else:
+        pairs["bias"] = bias(cfg.bias_ma_n)
+    out = with_changes(panel.withColumn("adv", adv(cfg.adv_window)), **pairs).drop("_ema")
+    out = out.withColumns(
         {
-            "gap": gap(),
-            "mom5": momentum(5),
-            "mom10": momentum(10),
-            "mom20": momentum(20),
-            "adv": adv(cfg.adv_window),
             "gk_vol": garman_klass(F.col("O"), F.col("H"), F.col("L"), F.col("C")),
             "liquidity": liquidity(F.col("VAL")),
             "imbalance": order_imbalance(F.col("outside_vol"), F.col("inside_vol")),
         }
     )
-    if cfg.bias_use_ema:
-        alpha = ema_alpha_from_half_life(cfg.bias_ema_half_life)
-        out = with_ema(out, F.col("C"), alpha, "_ema")
-        out = out.withColumn("bias", change(F.col("C"), F.col("_ema"))).drop("_ema")
-    else:
-        out = out.withColumn("bias", bias(cfg))
     flow = F.col("netbuy").cast("double") if "netbuy" in panel.columns else F.lit(None).cast("double")
     strength = safe_div(flow, F.col("V"))
     return with_ema(out, strength, ema_alpha_from_span(cfg.broker_strength_ema), "broker_strength")

@@ -25,15 +25,15 @@ from marketloom.config import (
 from marketloom.functions.quantiles import exact_quantiles
 from marketloom.functions.scalars import safe_div
 from marketloom.operators.crosssection import zscore
-from marketloom.operators.features import change
+from marketloom.operators.features import Pair, with_changes
 from marketloom.operators.panel import in_time
 from marketloom.session import by_date, stage
 
 TARGETS = ("OO", "OC", "CC")
 
 
-def target_return(target: str = "CC", label_offset: int = 0) -> Column:
-    """Return from day s to s+1, on the row of day s.
+def target_return(target: str = "CC", label_offset: int = 0) -> Pair:
+    """The two prices of the return from day s to s+1, on the row of day s.
 
     OO starts at the open of day s, before that day's closing features exist; a
     ``label_offset`` of 1 moves the label one day on and removes the overlap.
@@ -45,10 +45,10 @@ def target_return(target: str = "CC", label_offset: int = 0) -> Column:
         return F.lead(c, n + label_offset).over(in_time()) if n + label_offset else F.col(c)
 
     if target == "OO":
-        return change(ahead("O", 1), ahead("O", 0))
+        return ahead("O", 1), ahead("O", 0)
     if target == "OC":
-        return change(ahead("C", 1), ahead("O", 1))
-    return change(ahead("C", 1), ahead("C", 0))
+        return ahead("C", 1), ahead("O", 1)
+    return ahead("C", 1), ahead("C", 0)
 
 
 def _pairs(p: int) -> list[tuple[int, int]]:
@@ -229,8 +229,8 @@ def labelled_sections(
     """
     z = zscore(features, FEATURES, px, suffix="_z")
     kept = ["dt", "t", "symbol", "bias", *[f"{f}_z" for f in FEATURES]]
-    label = target_return(target, label_offset).alias("label")
-    return stage(z.select(*kept, label), "sections")
+    labelled = with_changes(z, label=target_return(target, label_offset))
+    return stage(labelled.select(*kept, "label"), "sections")
 
 
 def boosted_trees(sections: DataFrame, at: int, window: int = 252, seed: int = 12345) -> DataFrame:

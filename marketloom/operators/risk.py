@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketloom.config import RiskConfig
 from marketloom.functions.blocks import block_count, block_of, paired
 from marketloom.functions.scalars import safe_div
-from marketloom.operators.features import change, rolling_std
+from marketloom.operators.features import rolling_std, with_changes
 from marketloom.operators.panel import in_time
 from marketloom.session import stage
 
 
-def close_return() -> Column:
-    return change(F.col("C"), F.lag("C", 1).over(in_time()))
+def with_close_return(panel: DataFrame, name: str = "r") -> DataFrame:
+    return with_changes(panel, **{name: (F.col("C"), F.lag("C", 1).over(in_time()))})
 
 
 def name_volatility(panel: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
@@ -26,7 +26,7 @@ def name_volatility(panel: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFra
         return panel.withColumn("sigma", F.col("gk_vol"))
     # Fewer rows than the window near the start; the first return of a symbol has no deviation.
     return (
-        panel.withColumn("_r", close_return())
+        with_close_return(panel, "_r")
         .withColumn("sigma", rolling_std("_r", cfg.std_window))
         .drop("_r")
     )
@@ -39,7 +39,7 @@ def return_directions(panel: DataFrame, at: int, cfg: RiskConfig = RiskConfig())
     ``corr_window`` entries. A missing return counts as no move.
     """
     recent = panel.where(F.col("t").between(at - cfg.corr_window, at))
-    returns = recent.select("symbol", "t", close_return().alias("r")).where(
+    returns = with_close_return(recent.select("symbol", "t", "C")).where(
         F.col("t") > max(at - cfg.corr_window, 0)
     )
     weight = F.pow(F.lit(2.0), (F.col("t") - at) / cfg.corr_half_life)
