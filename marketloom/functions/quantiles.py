@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketloom.session import stage
+
 SKETCH_ACCURACY = 10_000
 # Half-width of a bracket, in shares of the group; twice the error the sketch guarantees.
 BRACKET = 2.0 / SKETCH_ACCURACY
@@ -137,9 +139,10 @@ def tail_mean(
 ) -> DataFrame:
     """A9 (ours): value at risk (alpha quantile of loss) and mean of the losses at or above it.
 
-    The zone counters carry sums, so the tail needs no third pass over the samples.
+    The zone counters carry sums, so the tail needs no third pass over the samples. They are
+    staged: the quantile and the tail both read them.
     """
-    ranked = _ranked(_zones(df, by, [loss], [alpha], keep), by)
+    ranked = _ranked(stage(_zones(df, by, [loss], [float(alpha)], keep), "zones"), by)
     var = ranked.groupBy(*by).agg(_quantile(alpha).alias("var"))
     # Two rows or so per bracketed value: both sides of this join are counters, not samples.
     tail = ranked.join(var, list(by)).where(F.col("last") >= F.col("var"))

@@ -113,8 +113,8 @@ def turnover_share(panel: DataFrame, name: str = "turnover_share") -> DataFrame:
     Sums per date are pre-aggregated and sent back as one row per date; a window by date would
     draw each cross-section into one task.
     """
-    total = panel.groupBy("dt").agg(F.sum(F.col("VAL").cast("decimal(38,4)")).alias("_total"))
-    share = safe_div(F.col("VAL"), F.col("_total").cast("double"))
+    total = panel.groupBy("dt").agg(F.sum("VAL").alias("_total"))
+    share = safe_div(F.col("VAL"), F.col("_total"))
     return panel.join(by_date(total), "dt", "left").withColumn(name, share).drop("_total")
 
 
