@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, linededup, mixing, simhash
+from marketloom.llm import ann, decontaminate, langid, linededup, mixing, quality, simhash, urlfilter, warc
 from marketloom.llm.common import fold, read
 from marketloom.llm.registry import ORACLES, QUERIES, query
 
@@ -82,6 +82,45 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_langid")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from the two thirds of them that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "__row.doc_id", (fold(F.col("__row.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query("op5_ann")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector by inner product."""
+    return ann.search(read(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0, k=20)
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels are learned from four fifths of the ids."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    model = quality.train(docs, labels)
+    return quality.score(docs, model, threshold=0.3).select(
+        "__row.doc_id", (fold(F.col("__row.doc_id"), 5) == 0).alias("held_out"), "score", "predicted"
+    )
+
+
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+@query("op7_urlfilter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; the model learns from the URLs that a rule settles."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    model = urlfilter.train(urlfilter.label_by_rules(pages, RULES))
+    return urlfilter.judge(pages, RULES, model).select("__row.page_id", "host", "path", "rule", "verdict")
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 3-word shingles, at most two differing bits."""
@@ -89,6 +128,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(docs).select("__row.doc_id", "fingerprint", "component_id")
 
 
+_OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), g AS (
+  SELECT body, max(page_id) AS keep FROM p WHERE n >= 1000 GROUP BY body
+)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.body) AS payload_digest,
+       CASE WHEN keep IS NOT NULL AND keep <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keep <> p.page_id THEN keep END AS refers_to
+FROM p LEFT JOIN g ON p.n >= 1000 AND p.body = g.body
+"""
+
+
+@query("op9_warc", _OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC archives and back, from the merged index."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.roundtrip(pages, min_revisit=1000).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op10_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weigh 1, 2, 3, repeating, and share all words; no document is taken more than three times."""
