@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, decontaminate, langid, linededup, mixing, quality, simhash, urlfilter, warc
+from marketloom.llm import ann, decontaminate, langid, linededup, lm, mixing, quality, simhash, urlfilter, warc
 from marketloom.llm.common import fold, read
 from marketloom.llm.registry import ORACLES, QUERIES, query
 
@@ -38,6 +38,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_lm_score")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a bigram automaton; every tenth id is held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, fold(F.col("doc_id"), 10) != 0, order=2)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 _OP3_SQL = r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
