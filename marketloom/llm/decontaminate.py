@@ -168,18 +168,17 @@ def scan(
         F.array().cast("array<struct<start:int,stop:int>>"),
         _merge,
     )
-    return found.select(
+    merged_once = found.select(
         _ROW,
         F.col("n_words").cast("long").alias("n_words"),
         merged.alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"),
-    ).select(
-        _ROW,
-        "n_words",
-        "spans",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"] + 1).alias("n_hit"),
-        "items",
     )
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"] + 1)
+    # A generator of one row: a later filter on n_hit stays above it. Pushed below, it would repeat the
+    # whole scan inside its condition.
+    once = F.inline(F.array(F.struct("n_words", "spans", n_hit.alias("n_hit"), "items")))
+    return merged_once.select(_ROW, once)
 
 
 def _merge(done: Column, span: Column) -> Column:
