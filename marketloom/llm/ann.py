@@ -148,7 +148,7 @@ def search(
     is_query: Column,
     *,
     k: int = 20,
-    tables: int = 6,
+    tables: int = 10,
     hashes: int = 1,
     probe_share: float = 0.125,
     seed: int = 11,
