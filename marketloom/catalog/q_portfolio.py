@@ -168,17 +168,13 @@ view(
 )
 
 
-def covariance(spark, sf, feat):
+def vectors(spark, sf, feat):
     at = nth_last(roles.weeks(spark, sf))
-    return stage(rk.liquidity_scaled_risk(feat, at, RISK)[1], "covariance")
+    return stage(rk.risk_vectors(feat, at, RISK)[1], "vectors")
 
 
 def candidate_risk(spark, sf, feat):
-    cov = covariance(spark, sf, feat)
-    weights = roles.candidates(spark, sf)
-    # Small blocks cut the small tables into several tasks as well.
-    variance = rk.portfolio_variance(weights, cov, symbol_block=32, candidate_block=128)
-    return stage(variance.select("cand_id", F.sqrt("variance").alias("risk")), "risk")
+    return stage(rk.factor_risk(roles.candidates(spark, sf), vectors(spark, sf, feat), RISK.eps), "risk")
 
 
 @query("a12_portfolio_risk", sql("SELECT cand_id, round(risk, 6) AS risk FROM crisk", "crisk"))
@@ -270,7 +266,7 @@ def _violated(sigma, tau):
     rules = {
         "budget": "abs(sum_w - 1) > 1e-9", "long_only": "min_w < -1e-9", "risk": f"risk > {sigma} + 1e-9",
         "turnover": f"turnover > {tau} + 1e-9", "name_cap": "over_cap > 0", "group_cap": "over_group > 0",
-        "no_liquidity": "unpriced > 0",
+        "no_liquidity": "unpriced > 0", "no_risk": "risk IS NULL",
     }
     return [f"CASE WHEN {r} THEN '{n}' END" for n, r in rules.items()]
 
@@ -449,19 +445,33 @@ def r6(spark, sf):
     return rounded(out, 9, "w")
 
 
-view(
-    "lots",
-    """SELECT cand_id, symbol, price, lot, n0, k_imp, lots, floor((w - lots * lw) / sw) AS odd,
-      lots * lw + floor((w - lots * lw) / sw) * sw AS w FROM (
-      SELECT *, floor(w / lw) AS lots FROM (SELECT c.cand_id, c.symbol, c.w, price, lot, n0, k_imp, price / 1e9 * lot AS lw, price / 1e9 AS sw
-        FROM cands c JOIN limits2 USING (symbol)))""",
-    "cands",
-    "limits2",
-)
+def lots_view(name, weights):
+    """Target lots; a held name that a candidate does not list has weight 0."""
+    view(
+        name,
+        f"""SELECT cand_id, symbol, price, lot, n0, k_imp, lots, total - lots * lot AS odd,
+          lots * lw + (total - lots * lot) * sw AS w FROM (SELECT *, floor(total / lot) AS lots FROM (
+          SELECT *, floor(w / sw + (abs(w / sw) + 1) * 1e-11) AS total FROM (
+          SELECT c.cand_id, n.symbol, coalesce(s.w, 0) AS w, price, lot, n0, k_imp, price / 1e9 * lot AS lw, price / 1e9 AS sw
+          FROM (SELECT DISTINCT cand_id FROM {weights}) c CROSS JOIN limits2 n
+          LEFT JOIN {weights} s ON s.cand_id = c.cand_id AND s.symbol = n.symbol WHERE s.w IS NOT NULL OR n.n0 <> 0)))""",
+        weights,
+        "limits2",
+    )
+
+
+# Every candidate leaves a third of the names out; those it holds must be sold.
+_LISTED = "(cand_id + CAST(symbol AS INTEGER)) % 3 <> 0"
+view("sparse", f"SELECT * FROM cands WHERE {_LISTED}", "cands")
+lots_view("lots", "sparse")
+
+
+def sparse(spark, sf):
+    return roles.candidates(spark, sf).where(_LISTED.replace("INTEGER", "INT"))
 
 
 def lots(spark, sf, names):
-    return pf.to_lots(roles.candidates(spark, sf), names.select("symbol", "price", "lot", "n0"), EXEC)
+    return pf.to_lots(sparse(spark, sf), names.select("symbol", "price", "lot", "n0"), EXEC)
 
 
 @query("r7_whole_lots", sql(
@@ -480,7 +490,7 @@ def r7(spark, sf):
 def r7_result(spark, sf):
     feat = name_features(spark, sf)
     whole = stage(lots(spark, sf, limited(spark, sf, feat)), "lots")
-    risk = rk.portfolio_risk(whole, covariance(spark, sf, feat))
+    risk = rk.factor_risk(whole, vectors(spark, sf, feat), RISK.eps)
     return rounded(rounded(pf.execution_result(whole, risk), 8, "budget_violation"), 6, "risk")
 
 
@@ -507,20 +517,25 @@ def r8(spark, sf):
 
 
 view(
-    "q8lots",
-    """SELECT cand_id, symbol, price, lot, n0, k_imp, lots, floor((w - lots * lw) / sw) AS odd FROM (
-      SELECT *, floor(w / lw) AS lots FROM (SELECT c.cand_id, c.symbol, c.w, price, lot, n0, k_imp, price / 1e9 * lot AS lw, price / 1e9 AS sw
-        FROM scaled c JOIN limits2 USING (symbol)))""",
-    "scaled",
-    "limits2",
+    "sparserisk",
+    """SELECT a.cand_id, sqrt(sum(CASE WHEN sym_i = sym_j THEN 1 ELSE 2 END * a.w * b.w * cov)) AS risk
+    FROM ncov JOIN sparse a ON a.symbol = sym_i JOIN sparse b ON b.symbol = sym_j AND b.cand_id = a.cand_id GROUP BY a.cand_id""",
+    "ncov",
+    "sparse",
+)
+view(
+    "q8scaled",
+    """SELECT c.cand_id, symbol, w * pow(0.9, k) AS w FROM sparse c JOIN (
+      SELECT cand_id, CAST(CASE WHEN risk > 0.12 THEN ceil(ln(0.12 / risk) / ln(0.9)) ELSE 0 END AS INTEGER) AS k FROM sparserisk) f USING (cand_id)""",
+    "sparse",
+    "sparserisk",
 )
+lots_view("q8lots", "q8scaled")
 
 
 @query("q8_orders_of_scaled_weights", sql(_ORDERS.format(lots="q8lots"), "q8lots"))
 def q8(spark, sf):
     feat = name_features(spark, sf)
     names = limited(spark, sf, feat)
-    out, _ = execute(
-        roles.candidates(spark, sf), names, covariance(spark, sf, feat), TIGHT, COST, EXEC
-    )
+    out, _ = execute(sparse(spark, sf), names, vectors(spark, sf, feat), TIGHT, COST, EXEC)
     return _order_output(out)

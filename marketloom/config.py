@@ -1,4 +1,4 @@
-"""Parameter sets. Every default below is a fixed value carried over unchanged."""
+"""Parameter sets. Defaults are fixed values carried over unchanged, but for those marked as ours."""
 
 from __future__ import annotations
 
@@ -32,6 +32,7 @@ class CleanConfig:
     bias_use_ema: bool = False
     bias_ema_half_life: float = 10.0
     broker_strength_ema: int = 3
+    # Ours.
     adv_window: int = 30
     winsorize_by: str = "dt"
 
@@ -64,9 +65,10 @@ class RiskConfig:
     std_window: int = 30
     c_liq: float = 0.6
     eps: float = 1e-8
-    # Trailing days that enter the correlation; ours, no default is published.
+    # Ours: trailing days that enter the correlation. At the half-life above, the days before them
+    # hold 2 ** (-252 / 30) = 0.3 % of the weight of an endless history. Raise it with the half-life.
     corr_window: int = 252
-    # Symbols per covariance block: a task holds two blocks of window x block values.
+    # Ours: symbols per covariance block: a task holds two blocks of window x block values.
     block_size: int = 256
 
     def __post_init__(self):

@@ -31,6 +31,8 @@ NAME_COLUMNS = (
 
 # Fixed value: numerical tolerance of the limits.
 TOLERANCE = 1e-9
+# Ours: relative, far above rounding and far below one share.
+SHARE_TOLERANCE = 1e-11
 
 
 def trade(w: Column, w0: Column) -> dict[str, Column]:
@@ -108,7 +110,8 @@ def score_candidates(
     acting = _name_terms(F.col("w"), cost, notional, norm, pwl)
     base = names.agg(F.struct(*[F.sum(v).alias(k) for k, v in idle.items()])).scalar()
 
-    rows = weights.join(names, "symbol")
+    # A name that ``names`` does not list has neither price nor liquidity; it is counted as unpriced.
+    rows = weights.join(names, "symbol", "left").fillna({"w0": 0.0, "w_turn": 1.0, "rhat_enh": 0.0})
     sums = {k: F.sum(acting[k] - idle[k]) for k in acting}
     per_group = rows.groupBy("cand_id", "group").agg(
         F.sum("w").alias("exposure"),
@@ -131,7 +134,7 @@ def score_candidates(
     )
     turn = F.col("turn") + base["turn"]
     return (
-        totals.join(risk.select("cand_id", "risk"), "cand_id")
+        totals.join(risk.select("cand_id", "risk"), "cand_id", "left")
         .withColumn("lin_cost", F.col("lin") + base["lin"])
         .withColumn("imp_cost", F.col("imp") + base["imp"])
         .withColumn("turnover", turn if norm == "L1" else F.sqrt(F.greatest(turn, F.lit(0.0))))
@@ -151,6 +154,7 @@ def violations(sigma_star: Column, tau: Column, m: float = 1.0) -> Column:
         ("name_cap", F.col("over_cap") > 0),
         ("group_cap", F.col("over_group") > 0),
         ("no_liquidity", F.col("unpriced") > 0),
+        ("no_risk", F.col("risk").isNull()),
     ]
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]))
 
@@ -263,20 +267,32 @@ def to_lots(
 ) -> DataFrame:
     """R7, P24 (ours): whole lots, rounded down; the rest in whole shares if odd lots are on.
 
-    ``holdings`` has (symbol, price, lot, n0). ``w`` becomes the realised weight.
+    ``holdings`` has (symbol, price, lot, n0). ``w`` becomes the realised weight. A held name that a
+    candidate does not list gets weight 0, so that it is sold. Where price, lot or holding is missing
+    or not positive, ``tradable`` is false and the name stays as it is held.
     """
+    own = weights.groupBy("cand_id").agg(F.collect_set("symbol").alias("own"))
+    held = holdings.where("n0 <> 0").agg(F.collect_set("symbol")).scalar()
+    unlisted = own.select("cand_id", F.explode(F.array_except(held, "own")).alias("symbol"))
+    targets = weights.select("cand_id", "symbol", "w").unionByName(unlisted.withColumn("w", F.lit(0.0)))
     lot_w, share_w = unit_weights(F.col("price"), F.col("lot"), cfg.notional)
-    out = weights.join(holdings, "symbol").withColumns({"lot_w": lot_w, "share_w": share_w})
+    tradable = F.coalesce((F.col("price") > 0) & (F.col("lot") > 0) & F.col("n0").isNotNull(), F.lit(False))
+    out = targets.join(holdings, "symbol", "left").withColumns(
+        {"lot_w": lot_w, "share_w": share_w, "tradable": tradable}
+    )
     if cfg.reduce_only:
         out = out.withColumn("w", reduce_only(F.col("w"), F.col("n0") * F.col("lot_w")))
-    lots = F.floor(F.col("w") / F.col("lot_w"))
-    out = out.withColumn("lots", lots)
-    rest = F.col("w") - F.col("lots") * F.col("lot_w")
-    odd = F.floor(rest / F.col("share_w")) if cfg.odd_lots else F.lit(0).cast("bigint")
+    # Counted in whole shares; the tolerance keeps a quotient a hair below a whole number whole.
+    quotient = F.when(F.col("tradable"), F.try_divide("w", "share_w"))
+    shares = F.floor(quotient + (F.abs(quotient) + 1) * SHARE_TOLERANCE)
+    lots = F.when(F.col("tradable"), F.floor(F.try_divide("shares", "lot"))).otherwise(F.col("n0").cast("bigint"))
+    odd = F.col("shares") - F.col("lots") * F.col("lot") if cfg.odd_lots else F.lit(0)
     return (
-        out.withColumn("odd", odd)
+        out.withColumn("shares", shares)
+        .withColumn("lots", lots)
+        .withColumn("odd", F.when(F.col("tradable"), odd).otherwise(0).cast("bigint"))
         .withColumn("w", F.col("lots") * F.col("lot_w") + F.col("odd") * F.col("share_w"))
-        .drop("lot_w", "share_w")
+        .drop("lot_w", "share_w", "shares")
     )
 
 
@@ -297,13 +313,14 @@ def orders(
 ) -> DataFrame:
     """Board-lot and odd-lot orders from the holdings to the target.
 
-    The estimate holds fee, tax and the order's share of the name's impact.
+    The estimate holds fee, tax and the order's share of the name's impact. Names that are not
+    tradable have no order; ``to_lots`` lists them.
     """
     target = F.col("lots") * F.col("lot") + F.col("odd")
     delta = target - F.col("n0") * F.col("lot")
     moved = (
         lots.withColumn("delta", delta)
-        .where("delta <> 0")
+        .where("tradable AND delta <> 0")
         .join(names.select("symbol", "k_imp"), "symbol", "left")
         .withColumns(
             {

@@ -108,21 +108,69 @@ def covariance(vectors: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     )
 
 
-def liquidity_scaled_risk(
+def risk_vectors(
     features: DataFrame, at: int, cfg: RiskConfig = RiskConfig()
 ) -> tuple[DataFrame, DataFrame]:
-    """R2: names (symbol, sigma, adv, scale) and covariance pairs of the day with ordinal ``at``.
+    """Names (symbol, sigma, adv, scale) of the day with ordinal ``at`` and their factor
+    form (symbol, u, size): covariance is size_i size_j u_i'u_j off the diagonal, size^2 + eps on it.
 
-    ``features`` has C, gk_vol and adv; only the days of the windows are read.
+    ``size`` is NULL without a volatility. Only the days of the windows are read.
     """
     past = max(cfg.corr_window, cfg.std_window)
     recent = features.where(F.col("t").between(at - past, at))
     today = name_volatility(recent, cfg).where(F.col("t") == at)
     names = liquidity_scale(today.select("dt", "symbol", "sigma", "adv"), cfg.c_liq)
     vectors = return_directions(recent, at, cfg).join(names, "symbol").select(
-        "symbol", "u", (F.coalesce("sigma", F.lit(0.0)) * F.col("scale")).alias("size")
+        "symbol", "u", (F.col("sigma") * F.col("scale")).alias("size")
+    )
+    return names, vectors
+
+
+def liquidity_scaled_risk(
+    features: DataFrame, at: int, cfg: RiskConfig = RiskConfig()
+) -> tuple[DataFrame, DataFrame]:
+    """R2: names (symbol, sigma, adv, scale) and covariance pairs of the day with ordinal ``at``.
+
+    ``features`` has C, gk_vol and adv; only the days of the windows are read. The pairs are R2's own
+    output; portfolio risk takes the factors (``factor_risk``).
+    """
+    names, vectors = risk_vectors(features, at, cfg)
+    known = vectors.withColumn("size", F.coalesce("size", F.lit(0.0)))
+    return names, covariance(stage(known, "directions"), cfg)
+
+
+def factor_risk(weights: DataFrame, vectors: DataFrame, eps: float = RiskConfig().eps) -> DataFrame:
+    """(cand_id, risk) from the factor form of ``risk_vectors``, without any pair of names.
+
+    Variance = |sum w size u|^2 + sum w^2 (size^2 (1 - |u|^2) + eps). A name with weight but without
+    a vector or a size makes the risk NULL: unknown is not riskless.
+    """
+    loading = F.col("w") * F.col("size")
+    squares = F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)
+    own = loading * loading * (1.0 - squares) + F.col("w") * F.col("w") * eps
+    unknown = (F.col("w") != 0) & (F.col("u").isNull() | F.col("size").isNull())
+    terms = F.concat(
+        F.array(F.struct(F.lit(-1).alias("k"), F.coalesce(own, F.lit(0.0)).alias("x"))),
+        F.coalesce(
+            F.transform("u", lambda x, i: F.struct(i.alias("k"), F.coalesce(loading * x, F.lit(0.0)).alias("x"))),
+            F.array().cast("array<struct<k:int,x:double>>"),
+        ),
+        F.when(unknown, F.array(F.struct(F.lit(-2).alias("k"), F.lit(1.0).alias("x")))).otherwise(
+            F.array().cast("array<struct<k:int,x:double>>")
+        ),
+    )
+    # One row per candidate, name and time entry, summed before the shuffle.
+    sums = (
+        weights.join(vectors, "symbol", "left")
+        .select("cand_id", F.inline(terms))
+        .groupBy("cand_id", "k")
+        .agg(F.sum("x").alias("x"))
+    )
+    variance = F.sum(F.when(F.col("k") >= 0, F.col("x") * F.col("x")).when(F.col("k") == -1, F.col("x")).otherwise(0.0))
+    known = F.count_if(F.col("k") == -2) == 0
+    return sums.groupBy("cand_id").agg(
+        F.when(known, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("risk")
     )
-    return names, covariance(stage(vectors, "directions"), cfg)
 
 
 def portfolio_variance(

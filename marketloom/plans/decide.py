@@ -8,7 +8,7 @@ from marketloom.config import CostConfig, ExecutionConfig, PolicyConfig, RiskTar
 from marketloom.operators import policy as pol
 from marketloom.operators import portfolio as pf
 from marketloom.operators.dedup import greedy_keep
-from marketloom.operators.risk import portfolio_risk
+from marketloom.operators.risk import factor_risk
 from marketloom.session import stage
 
 
@@ -24,16 +24,19 @@ def choose_candidates(
 def execute(
     weights: DataFrame,
     names: DataFrame,
-    cov: DataFrame,
+    vectors: DataFrame,
     target: RiskTarget = RiskTarget(),
     cost: CostConfig = CostConfig(),
     cfg: ExecutionConfig = ExecutionConfig(),
 ) -> tuple[DataFrame, DataFrame]:
-    """Q8: orders, and the realised risk and budget of the rounded portfolios."""
-    scaled = pf.scale_to_risk(weights, portfolio_risk(weights, cov), target, cfg)
+    """Q8: orders, and the realised risk and budget of the rounded portfolios (a plan until it is read).
+
+    ``vectors`` is the factor form of the risk (``operators.risk.risk_vectors``).
+    """
+    scaled = pf.scale_to_risk(weights, stage(factor_risk(weights, vectors), "risk"), target, cfg)
     holdings = names.select("symbol", "price", "lot", "n0")
     whole = stage(pf.to_lots(scaled, holdings, cfg), "lots")
-    result = pf.execution_result(whole, portfolio_risk(whole, cov))
+    result = pf.execution_result(whole, factor_risk(whole, vectors))
     return pf.orders(whole, names, cost), result
 
 

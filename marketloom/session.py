@@ -1,12 +1,13 @@
 """Session settings and stage tables.
 
 Stage tables live in the folder the cluster names in ``spark.checkpoint.dir``. It is shared,
-so a lost executor costs a re-read and not a re-run. Only a session without that setting
-(tests on one machine) gets a folder of its own.
+so a lost executor costs a re-read and not a re-run. Only a session without executors of its own
+(master ``local[...]``) may go without that setting; it gets a temporary folder.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
