@@ -168,15 +168,15 @@ def p11(spark, sf):
 
 
 @query("a2_last_wins", sql(
-    f"""SELECT dt, symbol AS code, CAST({_NET} AS BIGINT) AS value FROM flow WHERE day(dt) % 7 <> 0 AND CAST(symbol AS INTEGER) % 5 = 0""", "flow"))
+    f"""SELECT dt, symbol AS code, CAST({_NET} AS BIGINT) AS value FROM flow WHERE day(dt) % 7 <> 0""", "flow"))
 def a2(spark, sf):
-    rows = feeds.trading_day_rows(responses(spark, sf), "date").where(F.col("code").cast("int") % 5 == 0)
+    rows = feeds.trading_day_rows(responses(spark, sf), "date")
     out = feeds.last_per_code(rows, "date", value=feeds.rightmost_amount(F.col("cells")))
     return out.select(sc.to_date(F.col("date")).alias("dt"), "code", "value")
 
 
-def companies_bodies(spark, sf):
-    """The company list, paged; every fourth supplier is missing from it."""
+def companies_bodies(spark, sf, whole=False):
+    """The company list, paged; unless ``whole``, every fourth supplier is missing from it."""
     n = F.col("s_suppkey")
     code = F.when(n % 2 == 0, F.concat(F.lit('"公司代號":"'), n, F.lit('"'))).otherwise(
         F.concat(F.lit('"公司代號":"","有價證券代號":"'), n, F.lit('"'))
@@ -192,7 +192,7 @@ def companies_bodies(spark, sf):
     nation, region = roles.table(spark, sf, "nation"), roles.table(spark, sf, "region")
     return (
         roles.table(spark, sf, "supplier")
-        .where(n % 4 != 0)
+        .where(F.lit(whole) | (n % 4 != 0))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .groupBy(F.floor(n / PAGE).alias("page"))
@@ -200,26 +200,27 @@ def companies_bodies(spark, sf):
     )
 
 
-_COMPANY = """SELECT CAST(s_suppkey AS VARCHAR) AS code, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE n_name END AS industry,
+_ALL_COMPANIES = """SELECT CAST(s_suppkey AS VARCHAR) AS code, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE n_name END AS industry,
     CASE WHEN s_suppkey % 10 = 0 THEN 'Main ETF board' ELSE r_name END AS market,
     CASE WHEN s_suppkey % 7 = 0 THEN '受益證券' ELSE '股票' END AS sec_type
-    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 4 <> 0"""
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+_COMPANY = f"{_ALL_COMPANIES} WHERE s_suppkey % 4 <> 0"
 
 
 def companies(spark, sf):
     path = scratch_path(spark, "companies")
-    companies_bodies(spark, sf).write.partitionBy("page").text(path)
+    companies_bodies(spark, sf, whole=True).write.partitionBy("page").text(path)
     return feeds.read_companies(feeds.read_responses(spark, path))
 
 
-@query("s6_company_json_scan", _COMPANY)
+@query("s6_company_json_scan", _ALL_COMPANIES)
 def s6(spark, sf):
     return companies(spark, sf).drop("pos")
 
 
-@query("p9_alternative_keys", f"SELECT code, market FROM ({_COMPANY})")
+@query("p9_alternative_keys", f"SELECT code, market FROM ({_ALL_COMPANIES})")
 def p9(spark, sf):
-    return feeds.read_companies(companies_bodies(spark, sf)).select("code", "market")
+    return feeds.read_companies(companies_bodies(spark, sf, whole=True)).select("code", "market")
 
 
 _Q2 = f"""SELECT s.symbol, CAST(CASE WHEN etf THEN 100 ELSE 1000 END AS INTEGER) AS lot, 1 AS odd_lot_unit, industry, "group", 1 AS tradable_flag, etf, found
@@ -258,12 +259,15 @@ def k2(spark, sf):
 
 
 _COUNTERS = f"""SELECT count(*) AS rows_written, count(CASE WHEN etf THEN 1 END) AS etf_count,
-    count(CASE WHEN NOT found THEN 1 END) AS missing_meta FROM ({_Q2})"""
+    count(CASE WHEN NOT found THEN 1 END) AS missing_meta, (SELECT count(*) FROM ({_COMPANY})) AS meta_rows FROM ({_Q2})"""
 
 
 @query("k6_run_counters", _COUNTERS)
 def k6(spark, sf):
-    return fl.run_counters(q2_table(spark, sf))
+    """The counters of the write, by observation, and the rows of the company list."""
+    seen = sinks.write_metadata(q2_table(spark, sf), scratch_path(spark, "meta-counted")).get
+    listed = feeds.read_companies(companies_bodies(spark, sf)).agg(F.count("*").alias("meta_rows"))
+    return listed.select(*[F.lit(v).cast("bigint").alias(k) for k, v in seen.items()], "meta_rows")
 
 
 @query("a3_conditional_counts", sql(

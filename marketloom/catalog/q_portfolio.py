@@ -88,9 +88,18 @@ view(
 )
 
 
-def limited(spark, sf, feat=None):
+# The sweep's caps bind for about seven candidates in ten.
+SWEEP_CAPS = CapConfig()
+view(
+    "limits3",
+    "SELECT * REPLACE (CASE WHEN wmax_base = 0 THEN 1.0 ELSE wmax_base END AS cap) FROM limits2",
+    "limits2",
+)
+
+
+def limited(spark, sf, feat=None, caps=CAPS):
     names = names_of(spark, sf, feat if feat is not None else name_features(spark, sf))
-    return stage(pf.names_with_limits(names, COST, CAPS, NOTIONAL), "limits")
+    return stage(pf.names_with_limits(names, COST, caps, NOTIONAL), "limits")
 
 
 @query("p21_p23_limits", sql("SELECT symbol, round(k_imp * 1e6, 6) AS k_imp_ppm, round(cap, 7) AS cap FROM limits2", "limits2"))
@@ -147,14 +156,14 @@ def p25(spark, sf):
     """SELECT dt, symbol, round(buy, 5) AS buy_score, round(-buy, 5) AS sell_score, CAST(rank AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY dt ORDER BY buy DESC, symbol) AS rank FROM (
         SELECT dt, symbol, mom5_z + broker_strength_z + imbalance_z + turnover_share_z - greatest(coalesce(abs(bias), 0) - 0.1, 0) AS buy FROM nzed))
-    WHERE rank <= 10""", "nzed"))
+""", "nzed"))
 def p29(spark, sf):
     f = name_features(spark, sf).select(
         "dt", "symbol", "bias",
         F.col("mom5").alias("rhat_enh"), F.col("broker_strength").alias("bf"),
         F.col("imbalance").alias("imb"), F.col("turnover_share").alias("ts"),
     )
-    return rounded(pf.priorities(f, top=10), 5, "buy_score", "sell_score")
+    return rounded(pf.priorities(f, ranked=True), 5, "buy_score", "sell_score")
 
 
 # ---- risk of candidates -----------------------------------------------------------------
@@ -185,7 +194,7 @@ def a12(spark, sf):
 view("gcaps", "SELECT \"group\", CAST(gcap AS DOUBLE) AS gcap FROM (VALUES " + ", ".join(f"('{g}', {c})" for g, c in GROUP_CAPS.items()) + ') v("group", gcap)')
 
 
-def scores_view(name, norm):
+def scores_view(name, norm, limits="limits2"):
     turn = "sum(w_turn * abs(w - w0))" if norm == "L1" else "sqrt(sum(pow(w_turn * (w - w0), 2)))"
     view(
         name,
@@ -195,26 +204,27 @@ def scores_view(name, norm):
             sum(coalesce(k_imp, 0) * pow(1e9 * abs(w - w0), 1.5) / 1e9) AS imp_cost, {turn} AS turnover,
             count(CASE WHEN w > cap + 1e-9 THEN 1 END) AS over_cap,
             count(CASE WHEN k_imp IS NULL AND w <> w0 THEN 1 END) AS unpriced
-          FROM cands JOIN limits2 USING (symbol) GROUP BY cand_id) s
+          FROM cands JOIN {limits} USING (symbol) GROUP BY cand_id) s
         JOIN (SELECT cand_id, count(CASE WHEN exposure > gcap + 1e-9 THEN 1 END) AS over_group FROM (
-            SELECT cand_id, "group", sum(w) AS exposure FROM cands JOIN limits2 USING (symbol) GROUP BY 1, 2)
+            SELECT cand_id, "group", sum(w) AS exposure FROM cands JOIN {limits} USING (symbol) GROUP BY 1, 2)
           LEFT JOIN gcaps USING ("group") GROUP BY cand_id) g ON g.cand_id = s.cand_id
         JOIN crisk r ON r.cand_id = s.cand_id""",
-        "cands", "limits2", "gcaps", "crisk",
+        "cands", limits, "gcaps", "crisk",
     )
 
 
 scores_view("scores", "L1")
 scores_view("scores2", "L2")
+scores_view("scores3", "L1", "limits3")
 
 
 def group_caps(spark):
     return spark.createDataFrame(list(GROUP_CAPS.items()), '"group" string, cap double'.replace('"', "`"))
 
 
-def scores(spark, sf, target=TARGET):
+def scores(spark, sf, target=TARGET, caps=CAPS):
     feat = name_features(spark, sf)
-    names = limited(spark, sf, feat)
+    names = limited(spark, sf, feat, caps)
     risk = candidate_risk(spark, sf, feat)
     return stage(
         pf.score_candidates(
@@ -278,19 +288,18 @@ def r4(spark, sf):
     return out.select("cand_id", F.concat_ws(",", "violated").alias("violated"))
 
 
-# The caps of the mapping bind almost everywhere; the sweeps below leave name caps aside.
 view(
     "swept",
     """SELECT s.cand_id, sigma_star, tau_max, impact_scale, ret_part - lin_cost - imp_cost * impact_scale AS obj,
-      coalesce(abs(sum_w - 1) <= 1e-9 AND min_w >= -1e-9 AND risk <= sigma_star + 1e-9 AND turnover <= tau_max + 1e-9 AND over_group = 0 AND unpriced = 0, false) AS feasible
-    FROM scores s, (SELECT unnest([0.15, 0.20, 0.30, 2.0]) AS sigma_star), (SELECT unnest([0.55, 0.60, 0.65, 0.90]) AS tau_max),
+      coalesce(abs(sum_w - 1) <= 1e-9 AND min_w >= -1e-9 AND risk <= sigma_star + 1e-9 AND turnover <= tau_max + 1e-9 AND over_cap = 0 AND over_group = 0 AND unpriced = 0, false) AS feasible
+    FROM scores3 s, (SELECT unnest([0.15, 0.20, 0.30, 2.0]) AS sigma_star), (SELECT unnest([0.55, 0.60, 0.65, 0.90]) AS tau_max),
       (SELECT unnest([0.7, 1.0, 1.3]) AS impact_scale)""",
-    "scores",
+    "scores3",
 )
 
 
-def free_scores(spark, sf):
-    return scores(spark, sf).withColumn("over_cap", F.lit(0).cast("bigint"))
+def sweep_scores(spark, sf):
+    return scores(spark, sf, caps=SWEEP_CAPS)
 
 
 _CELL = "CAST(sigma_star AS DOUBLE) AS sigma_star, CAST(tau_max AS DOUBLE) AS tau_max, CAST(impact_scale AS DOUBLE) AS impact_scale"
@@ -298,7 +307,7 @@ _CELL = "CAST(sigma_star AS DOUBLE) AS sigma_star, CAST(tau_max AS DOUBLE) AS ta
 
 @query("j8_parameter_sweep", sql(f"SELECT cand_id, {_CELL}, round(obj, 7) AS obj, feasible FROM swept", "swept"))
 def j8(spark, sf):
-    out = pf.sweep(free_scores(spark, sf), SWEEP)
+    out = pf.sweep(sweep_scores(spark, sf), SWEEP)
     return rounded(out.select("cand_id", *pf.CELL, "obj", "feasible"), 7, "obj")
 
 
@@ -306,7 +315,7 @@ def j8(spark, sf):
     f"""SELECT cand_id, {_CELL}, round(obj, 7) AS obj FROM (SELECT *, row_number() OVER (PARTITION BY sigma_star, tau_max, impact_scale
       ORDER BY obj DESC, cand_id) AS r FROM swept WHERE feasible) WHERE r = 1""", "swept"))
 def r5(spark, sf):
-    out = pf.best_per_cell(pf.sweep(free_scores(spark, sf), SWEEP))
+    out = pf.best_per_cell(pf.sweep(sweep_scores(spark, sf), SWEEP))
     return rounded(out.select("cand_id", *pf.CELL, "obj"), 7, "obj")
 
 
@@ -320,7 +329,7 @@ view(
 
 @query("l4_best_candidates", sql(f"SELECT cand_id, {_CELL}, round(obj, 7) AS obj FROM bestcand ORDER BY obj DESC, cand_id LIMIT 30", "bestcand"))
 def l4(spark, sf):
-    out = pf.best_per_candidate(free_scores(spark, sf), SWEEP).orderBy(F.desc("obj"), "cand_id").limit(SWEEP.k_keep)
+    out = pf.best_per_candidate(sweep_scores(spark, sf), SWEEP).orderBy(F.desc("obj"), "cand_id").limit(SWEEP.k_keep)
     return rounded(out, 7, "obj")
 
 
@@ -414,7 +423,7 @@ view(
       FROM q6greedy WHERE n = (SELECT max(n) FROM q6greedy)) k JOIN q6ranked r USING (n) JOIN bestcand b ON b.cand_id = r.cand_id""",
     "q6greedy", "q6ranked", "bestcand"))
 def q6(spark, sf):
-    out = choose_candidates(free_scores(spark, sf), roles.candidates(spark, sf), SWEEP)
+    out = choose_candidates(sweep_scores(spark, sf), roles.candidates(spark, sf), SWEEP)
     return rounded(out, 7, "obj")
 
 

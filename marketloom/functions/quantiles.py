@@ -5,7 +5,10 @@ quickest way as long as no group is large, which is counted first. For larger gr
 sketch gives a narrow bracket around each wanted rank. One more pass then counts the rows
 between the brackets (collapsed to a counter on the map side) and keeps single values only
 inside them. Ranks come out exact; a group holding a third of all rows is just more input to
-the map-side counters. Both passes read ``df``, so hand in a staged table.
+the map-side counters, as the brackets are brought to the rows: by broadcast up to a checked
+number of groups, by a salted join beyond it. Both passes read ``df``, so hand in a staged table.
+
+Both ways give the same rows: one per group, NULL keys and groups of NULLs only included.
 """
 
 from __future__ import annotations
@@ -21,18 +24,39 @@ from marketloom.session import stage
 SKETCH_ACCURACY = 10_000
 # Half-width of a bracket, in shares of the group; twice the error the sketch guarantees.
 BRACKET = 2.0 / SKETCH_ACCURACY
+# Doubles in a table of brackets that may be broadcast (64 MB); beyond, rows are salted.
+BROADCAST_DOUBLES = 8_000_000
+SALTS = 32
 # Largest group for the built-in: a task holds 128 groups of such values at most.
 SMALL_GROUP = 10_000
 
 
+def same_keys(by: Sequence[str], left: str, right: str) -> Column:
+    """Equal group keys; NULL is a key like any other. No keys: one group."""
+    out = F.lit(True)
+    for k in by:
+        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return out
+
+
+def _with_edges(
+    df: DataFrame, edges: DataFrame, by: Sequence[str], size: int, limit: int
+) -> DataFrame:
+    """Each row with its group's brackets; rows are never shuffled on the group key alone."""
+    if not by or edges.count() * size <= limit:
+        joined = df.alias("d").join(F.broadcast(edges).alias("e"), same_keys(by, "d", "e"))
+        return joined.select("d.*", *[F.col(f"e.{c}") for c in edges.columns if c not in by])
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.alias("d").join(copies.alias("e"), same_keys([*by, "_salt"], "d", "e"))
+    return joined.select("d.*", *[F.col(f"e.{c}") for c in edges.columns if c not in by]).drop("_salt")
+
+
 def _zones(
-    df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], keep: Callable
+    df: DataFrame, edges: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], limit: int
 ) -> DataFrame:
     """(by, name, zone, first, last, n, total): bracketed values and the gaps between them."""
-    cuts = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-BRACKET, BRACKET)})
-    edges = df.groupBy(*by).agg(
-        *[F.percentile_approx(c, cuts, SKETCH_ACCURACY).alias(f"_e_{c}") for c in cols]
-    )
+    cuts = _cuts(probs)
     melted = F.explode(
         F.array(
             *[
@@ -42,8 +66,7 @@ def _zones(
         )
     )
     long = (
-        df.select(*by, *cols)
-        .join(keep(edges), list(by))
+        _with_edges(df.select(*by, *cols), edges, by, len(cuts) * len(cols), limit)
         .select(*by, melted.alias("m"))
         .select(*by, "m.name", "m.x", "m.e")
         .where("x IS NOT NULL")
@@ -72,6 +95,21 @@ def _zones(
     )
 
 
+def _cuts(probs: Sequence[float]) -> list[float]:
+    return sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-BRACKET, BRACKET)})
+
+
+def _edges(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """One row per group: brackets around the wanted ranks of each column, from a sketch."""
+    cuts = _cuts(probs)
+    return stage(
+        df.groupBy(*by).agg(
+            *[F.percentile_approx(c, cuts, SKETCH_ACCURACY).alias(f"_e_{c}") for c in cols]
+        ),
+        "edges",
+    )
+
+
 def _ranked(zones: DataFrame, by: Sequence[str]) -> DataFrame:
     keys = [*by, "name"]
     order = Window.partitionBy(*keys).orderBy("first")
@@ -111,23 +149,33 @@ def exact_quantiles(
     probs: Sequence[float],
     keep: Callable[[DataFrame], DataFrame] = lambda d: d,
     small_group: int = SMALL_GROUP,
+    broadcast_doubles: int = BROADCAST_DOUBLES,
 ) -> DataFrame:
     """One row per group; column ``<c>_q`` is the array of quantiles of ``c`` in ``probs`` order.
 
-    ``keep`` may mark the table of brackets for broadcast where the caller knows its bound.
-    NULLs are left out; NaN must be NULL already. The largest group is counted up front.
+    NULLs are left out, and a column of NULLs only gives NULL; NaN must be NULL already. The largest
+    group is counted up front; it decides how the work is done, not what comes out. ``keep`` is
+    accepted for the caller's sake; the size of the brackets is checked here.
     """
     probs = [float(p) for p in probs]
     largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if largest <= small_group:
         return df.groupBy(*by).agg(*[F.percentile(c, probs).alias(f"{c}_q") for c in cols])
-    ranked = _ranked(_zones(df, by, cols, probs, keep), by)
+    edges = _edges(df, by, cols, probs)
+    ranked = _ranked(_zones(df, edges, by, cols, probs, broadcast_doubles), by)
     per_name = ranked.groupBy(*by, "name").agg(
         F.array(*[_quantile(p) for p in probs]).alias("q")
     )
-    return per_name.groupBy(*by).agg(
+    found = per_name.groupBy(*by).agg(
         *[F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"{c}_q") for c in cols]
     )
+    # Groups without any value have no zone.
+    return (
+        edges.select(*by).alias("d").join(found.alias("e"), same_keys(by, "d", "e"), "left")
+        .select("d.*", *[F.col(f"e.{c}_q") for c in cols])
+        if by
+        else found
+    )
 
 
 def tail_mean(
@@ -136,13 +184,16 @@ def tail_mean(
     loss: str,
     alpha: float,
     keep: Callable[[DataFrame], DataFrame] = lambda d: d,
+    broadcast_doubles: int = BROADCAST_DOUBLES,
 ) -> DataFrame:
     """A9 (ours): value at risk (alpha quantile of loss) and mean of the losses at or above it.
 
     The zone counters carry sums, so the tail needs no third pass over the samples. They are
     staged: the quantile and the tail both read them.
     """
-    ranked = _ranked(stage(_zones(df, by, [loss], [float(alpha)], keep), "zones"), by)
+    edges = _edges(df, by, [loss], [float(alpha)])
+    zones = _zones(df, edges, by, [loss], [float(alpha)], broadcast_doubles)
+    ranked = _ranked(stage(zones, "zones"), by)
     var = ranked.groupBy(*by).agg(_quantile(alpha).alias("var"))
     # Two rows or so per bracketed value: both sides of this join are counters, not samples.
     tail = ranked.join(var, list(by)).where(F.col("last") >= F.col("var"))

@@ -61,8 +61,7 @@ def names_with_limits(
     median = F.lit(None).cast("double")
     out = names
     if caps.kappa_ts > 0:
-        one = names.withColumn("_g", F.lit(0))
-        mid = exact_quantiles(one, ["_g"], ["ts"], [0.5]).select(F.col("ts_q")[0])
+        mid = exact_quantiles(names, [], ["ts"], [0.5]).select(F.col("ts_q")[0])
         median = mid.scalar()
     return out.withColumns(
         {
@@ -357,17 +356,20 @@ def orders(
     )
 
 
-def priorities(names: DataFrame, theta_bias: float = 0.10, top: int = 0) -> DataFrame:
+def priorities(
+    names: DataFrame, theta_bias: float = 0.10, top: int = 0, ranked: bool = False
+) -> DataFrame:
     """P29, W11 (ours): buy score per name and date, sell score its opposite.
 
-    ``names`` has (dt, symbol, rhat_enh, bf, imb, ts, bias). ``top`` > 0 keeps the best ranks.
+    ``names`` has (dt, symbol, rhat_enh, bf, imb, ts, bias). ``ranked`` adds the rank of every name,
+    ``top`` > 0 keeps the best ranks only.
     """
     cols = ["rhat_enh", "bf", "imb", "ts"]
     z = zscore(names, cols, suffix="_z")
     excess = F.greatest(F.coalesce(F.abs("bias"), F.lit(0.0)) - theta_bias, F.lit(0.0))
     buy = F.col("rhat_enh_z") + F.col("bf_z") + F.col("imb_z") + F.col("ts_z") - excess
     out = z.select("dt", "symbol", buy.alias("buy_score"), (-buy).alias("sell_score"))
-    if top:
+    if top or ranked:
         best = Window.partitionBy("dt").orderBy(F.desc("buy_score"), "symbol")
-        out = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return out
+        out = out.withColumn("rank", F.row_number().over(best))
+    return out.where(F.col("rank") <= top) if top else out
