@@ -40,8 +40,22 @@ def packed(df: DataFrame, name: str = "__row") -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Texts go to Python in batches of at most so many megabytes.
+
+    The default of 64 is held several times over, in the JVM and in Python, by every running task: a
+    large part of a small executor. Only ever lowers the session's setting.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(key)
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(size.lower().rstrip("b")[-1:], 1)
+    now = int("".join(c for c in size if c.isdigit() or c == "-")) * unit
+    if now <= 0 or now > megabytes << 20:
+        spark.conf.set(key, f"{megabytes}m")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["SPACES", "WORD", "ascii_lower", "fold", "packed", "read", "stage", "text_key", "text_of"]
+__all__ = ["SPACES", "WORD", "ascii_lower", "bounded_batches", "fold", "packed", "read", "stage", "text_key", "text_of"]

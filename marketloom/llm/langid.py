@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import bounded_batches
+
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 _CHUNK = 64
@@ -151,6 +153,7 @@ def train(
     Sample: the ``max_langs`` most frequent languages (ties by name), about ``per_lang`` documents of
     each, chosen by the hash of their id, ``per_doc`` windows of each, evenly spaced over the text.
     """
+    bounded_batches(docs.sparkSession)
     marked = docs.select(
         F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -188,8 +191,7 @@ def predict(docs: DataFrame, model: ByteConv | None, *, text: str = "text") -> D
     there was nothing to learn from. Each row is returned, repeated or not; empty table: empty result.
     """
     lettered = F.when(F.col(f"`{text}`").rlike(r"\p{L}"), F.col(f"`{text}`"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), lettered.alias("__text"))
-    schema = rows.select("__row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    bounded_batches(docs.sparkSession)
 
     def judge(raws: list[bytes]) -> list[tuple[str, float]]:
         cut = [windows(r) for r in raws]
@@ -202,24 +204,27 @@ def predict(docs: DataFrame, model: ByteConv | None, *, text: str = "text") -> D
         best = mean.argmax(axis=1)
         return [(model.langs[k], float(min(1.0, m[k]))) for k, m in zip(best, mean)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [("und", 0.0)] * b.num_rows
-            rows_: list[int] = []
-            raws: list[bytes] = []
-            size = 0
-            for i, t in enumerate(b.column(1)):
-                if model is not None and t.is_valid:
-                    rows_.append(i)
-                    raws.append(t.as_py().encode())
-                    size += len(raws[-1])
-                if raws and (size > 1_000_000 or i == b.num_rows - 1):
-                    for k, o in zip(rows_, judge(raws)):
-                        out[k] = o
-                    rows_, raws, size = [], [], 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
-                names=["__row", "lang_pred", "score"],
-            )
-
-    return rows.mapInArrow(run, schema)
+    def language(texts: pa.Array) -> pa.Array:
+        out = [("und", 0.0)] * len(texts)
+        rows: list[int] = []
+        raws: list[bytes] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if model is not None and t.is_valid:
+                rows.append(i)
+                raws.append(t.as_py().encode())
+                size += len(raws[-1])
+            if raws and (size > 1_000_000 or i == len(texts) - 1):
+                for k, o in zip(rows, judge(raws)):
+                    out[k] = o
+                rows, raws, size = [], [], 0
+        return pa.StructArray.from_arrays(
+            [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
+            names=["lang_pred", "score"],
+        )
+
+    # Only the text goes to Python and only the verdict comes back.
+    judged = F.arrow_udf(language, "lang_pred string, score double")(lettered)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), judged.alias("p")).select(
+        "__row", "p.lang_pred", "p.score"
+    )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import stage, text_key, text_of
+from marketloom.llm.common import bounded_batches, stage, text_key, text_of
 
 _STRIP = b" \t\n\x0b\f\r"
 _NONE = (0, 0)
@@ -39,6 +39,7 @@ def line_keys(text: str, min_chars: int = 1) -> list[tuple[int, int]]:
 
 def keyed_lines(docs: DataFrame, *, text: str = "text", min_chars: int = 1) -> DataFrame:
     """``k1, k2`` (key of the whole text) and ``keys``, the hashes of its lines in order."""
+    bounded_batches(docs.sparkSession)
     k1, k2 = text_key(text_of(text))
     source = docs.select(k1.alias("k1"), k2.alias("k2"), text_of(text).alias("t"))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import stage
+from marketloom.llm.common import bounded_batches, stage
 
 # Local ids of the two words that no text can contain.
 _START, _END = 0, 1
@@ -97,6 +97,7 @@ def blocks_of(docs: DataFrame, *, doc_id: str, text: str, train: Column, block_t
 
     A longer document is a block of its own.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).cast("long").alias("id"), train.alias("train"), F.col(text).alias("text"), F.spark_partition_id().alias("part")
     )

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import bounded_batches
+
 FEATURES = (
     "log_bytes", "log_words", "word_len", "distinct_words", "repeated_words", "longest_word", "lines",
     "distinct_lines", "line_len", "upper", "lower", "digits", "space", "high_bytes", "exclaim", "pipe",
@@ -169,6 +171,7 @@ def train(
     Rows without id or label are skipped; several labels of one id count as their mean, several
     documents of one id as one of them.
     """
+    bounded_batches(docs.sparkSession)
     marked = (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y"))
         .where("id IS NOT NULL AND y IS NOT NULL")
@@ -190,14 +193,15 @@ def score(docs: DataFrame, model: Forest, *, text: str = "text", threshold: floa
     Null or empty text: scored as a document whose statistics are all zero. Nulls elsewhere, repeated rows and columns of any name: each row is
     returned with its own columns. Empty table: empty result.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("__text")
-    )
-    schema = rows.select("__row", F.lit(0.0).alias("score")).schema
+    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(1)], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["__row", "score"])
+    def probability(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_py()) for t in texts], float).reshape(-1, len(FEATURES))
+        return pa.array(model.score(x), pa.float64())
 
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    # Only the text goes to Python and only the score comes back.
+    scored = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.arrow_udf(probability, "double")(F.col(f"`{text}`")).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

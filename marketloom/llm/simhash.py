@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import stage
+from marketloom.llm.common import bounded_batches, stage
 
 _CHUNK = 255 * 64
 
@@ -49,6 +49,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """``__row`` (all columns of docs but the text) and ``fp``."""
+    bounded_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     source = docs.select(row.alias("__row"), F.col(text).alias("__text"))
     schema = source.select("__row", F.lit(0).cast("long").alias("fp")).schema
