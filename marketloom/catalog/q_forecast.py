@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from marketloom.catalog import roles
 from marketloom.catalog.base import query, rounded, sql, view
-from marketloom.catalog.q_panel import features
+from marketloom.catalog.q_panel import features, weekly
 from marketloom.catalog.views import W, chg, div
 from marketloom.config import FEATURES, STAGE1, Config, RiskConfig, TrainConfig
 from marketloom.operators import forecast as fc
 from marketloom.operators import risk as rk
 from marketloom.operators.panel import nth_last
-from marketloom.plans.daily import fitted, forecast, risk_and_stage1
+from marketloom.plans.daily import FORECAST_COLUMNS, fitted, forecast, risk_and_stage1, risk_panel
 from marketloom.session import stage
 
 TWO = ("gap", "mom5")
@@ -21,7 +21,7 @@ TRAIN = TrainConfig()
 
 
 def sections(spark, sf):
-    return fc.labelled_sections(stage(features(spark, sf), "features"))
+    return fc.labelled_sections(stage(features(spark, sf, keep=FORECAST_COLUMNS), "features"))
 
 
 @query("m1_standardised_features", sql(
@@ -209,14 +209,14 @@ def m7(spark, sf):
     round(rhat_cal * (1 + 0.1 * broker_strength_z + 0.1 * imbalance_z + 0.1 * turnover_share_z)
       * greatest(0.0, 1 - greatest(coalesce(abs(bias), 0.0) - 0.1, 0.0)), 7) AS rhat_enh FROM cal2""", "cal2"))
 def m8(spark, sf):
-    out = forecast(features(spark, sf), Config(), "CC", TWO).select("dt", "symbol", "rhat_raw", "rhat_cal", "rhat_enh")
+    out = forecast(features(spark, sf, keep=FORECAST_COLUMNS), Config(), "CC", TWO).select("dt", "symbol", "rhat_raw", "rhat_cal", "rhat_enh")
     return rounded(rounded(out, 5, "rhat_raw"), 7, "rhat_cal", "rhat_enh")
 
 
 @query("q5_forecast")
 def q5(spark, sf):
     """All ten features, every date; the solve has no SQL, see the optimality queries."""
-    return forecast(features(spark, sf)).select("dt", "symbol", "rhat_raw", "rhat_cal", "rhat_enh")
+    return forecast(features(spark, sf, keep=FORECAST_COLUMNS)).select("dt", "symbol", "rhat_raw", "rhat_cal", "rhat_enh")
 
 
 # ---- risk -------------------------------------------------------------------------------
@@ -265,7 +265,7 @@ RISK = RiskConfig(block_size=16)
 
 @query("r1_name_volatility_gk", sql("SELECT symbol, t, round(gk_vol, 6) AS sigma FROM wins", "wins"))
 def r1(spark, sf):
-    out = rk.name_volatility(features(spark, sf))
+    out = rk.name_volatility(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)))
     return out.select("symbol", "t", F.round("sigma", 6).alias("sigma"))
 
 
@@ -274,21 +274,21 @@ def r1(spark, sf):
       THEN stddev_samp(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END, 6) AS sigma
     FROM (SELECT symbol, t, {chg('C', f'lag(C) OVER {W}')} AS r FROM wins)""", "wins"))
 def r1_std(spark, sf):
-    out = rk.name_volatility(features(spark, sf), RiskConfig(sigma_source="STD"))
+    out = rk.name_volatility(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)), RiskConfig(sigma_source="STD"))
     return out.select("symbol", "t", F.round("sigma", 6).alias("sigma"))
 
 
 @query("j7_a6_decayed_correlation", sql("SELECT sym_i, sym_j, round(rho, 6) AS rho FROM cov", "cov"))
 def a6(spark, sf):
     at = nth_last(roles.weeks(spark, sf))
-    _, cov = rk.liquidity_scaled_risk(stage(features(spark, sf), "features"), at, RISK)
+    _, cov = rk.liquidity_scaled_risk(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)), at, RISK)
     return rounded(cov.select("sym_i", "sym_j", "rho"), 6, "rho")
 
 
 @query("r2_liquidity_scaled_covariance", sql("SELECT sym_i, sym_j, round(cov, 5) AS cov FROM cov", "cov"))
 def r2(spark, sf):
     at = nth_last(roles.weeks(spark, sf))
-    _, cov = rk.liquidity_scaled_risk(stage(features(spark, sf), "features"), at, RISK)
+    _, cov = rk.liquidity_scaled_risk(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)), at, RISK)
     return rounded(cov.select("sym_i", "sym_j", "cov"), 5, "cov")
 
 
@@ -296,7 +296,7 @@ def r2(spark, sf):
     """SELECT dt, symbol, round(sigma, 6) AS sigma, round(scale, 6) AS scale FROM sized""", "sized"))
 def q4_names(spark, sf):
     at = nth_last(roles.weeks(spark, sf))
-    names, _ = rk.liquidity_scaled_risk(stage(features(spark, sf), "features"), at, RISK)
+    names, _ = rk.liquidity_scaled_risk(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)), at, RISK)
     return rounded(names.select("dt", "symbol", "sigma", "scale"), 6, "sigma", "scale")
 
 
@@ -314,4 +314,4 @@ def q4_two(spark, sf):
 @query("q4_stage1_forecast")
 def q4(spark, sf):
     at = nth_last(roles.weeks(spark, sf))
-    return risk_and_stage1(features(spark, sf), at, RISK)[2]
+    return risk_and_stage1(features(spark, sf, keep=(*FORECAST_COLUMNS, "adv")), at, RISK)[2]

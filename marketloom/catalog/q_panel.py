@@ -57,10 +57,10 @@ def name_panel(spark, sf):
     )
 
 
-def features(spark, sf, cfg=CleanConfig()):
-    return feature_panel(
-        weekly(spark, sf), roles.weeks(spark, sf), roles.flow(spark, sf), roles.metadata(spark, sf), cfg
-    )
+def features(spark, sf, cfg=CleanConfig(), keep=None):
+    """With ``keep``, metadata is left out, as no feature reads it."""
+    meta = roles.metadata(spark, sf) if keep is None else None
+    return feature_panel(weekly(spark, sf), roles.weeks(spark, sf), roles.flow(spark, sf), meta, cfg, keep)
 
 
 def _bars_query(unit):

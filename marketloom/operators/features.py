@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,10 +141,17 @@ def time_features(panel: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFra
     return with_ema(out, strength, ema_alpha_from_span(cfg.broker_strength_ema), "broker_strength")
 
 
-def build_features(panel: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
+def build_features(
+    panel: DataFrame, cfg: CleanConfig = CleanConfig(), keep: Sequence[str] | None = None
+) -> DataFrame:
     """All ten features on a clean dense panel; non-finite results are NULL.
 
-    Staged before the turnover share, whose sums per date are a second reading of the panel.
+    Staged before the turnover share, whose sums per date are a second reading of the panel. With
+    ``keep``, only these columns (and the features) are computed and written.
     """
-    out = turnover_share(stage(time_features(panel, cfg), "features"))
+    timed = time_features(panel, cfg)
+    if keep is not None:
+        wanted = dict.fromkeys(["dt", "t", "symbol", "VAL", *keep, *FEATURES])
+        timed = timed.select(*[c for c in wanted if c in timed.columns])
+    out = turnover_share(stage(timed, "features"))
     return out.withColumns({f: finite(F.col(f)) for f in FEATURES})

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.config import FEATURES, STAGE1, CleanConfig, Config, RiskConfig, TrainConfig
+from marketloom.config import FEATURES, PRICE_FIELDS, STAGE1, CleanConfig, Config, RiskConfig, TrainConfig
+from marketloom.functions.scalars import finite, garman_klass
 from marketloom.operators.crosssection import winsorize
 from marketloom.operators import forecast as fc
-from marketloom.operators.features import build_features
+from marketloom.operators.features import adv, build_features
 from marketloom.operators.risk import liquidity_scaled_risk
 from marketloom.operators.panel import clean, dense_panel, join_inputs
 from marketloom.session import stage
@@ -38,14 +39,31 @@ def feature_panel(
     flow: DataFrame | None = None,
     meta: DataFrame | None = None,
     cfg: CleanConfig = CleanConfig(),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Q3: clean panel with the ten features, winsorised."""
-    features = build_features(clean_panel(daily, cal, flow, meta, cfg), cfg)
+    """Q3: clean panel with the ten features, winsorised; ``keep`` names the other columns wanted."""
+    features = build_features(clean_panel(daily, cal, flow, meta, cfg), cfg, keep)
     if cfg.winsorize_p <= 0:
         return features
     return winsorize(features, FEATURES, cfg.winsorize_p, cfg.winsorize_by)
 
 
+# What forecasts read beside the features.
+FORECAST_COLUMNS = ("O", "C")
+
+
+def risk_panel(daily: DataFrame, cal: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
+    """What the risk of a day reads: close, winsorised volatility and ADV, staged; no other feature."""
+    panel = clean_panel(daily, cal, cfg=cfg)
+    needed = panel.withColumns(
+        {"adv": adv(cfg.adv_window), "gk_vol": finite(garman_klass(*[F.col(c) for c in PRICE_FIELDS]))}
+    ).select("dt", "t", "symbol", "C", "adv", "gk_vol")
+    staged = stage(needed, "risk-panel")
+    if cfg.winsorize_p <= 0:
+        return staged
+    return winsorize(staged, ["gk_vol"], cfg.winsorize_p, cfg.winsorize_by)
+
+
 def fitted(
     sections: DataFrame, cfg: TrainConfig = TrainConfig(), xs: Sequence[str] = FEATURES
 ) -> DataFrame:
@@ -63,7 +81,8 @@ def forecast(
     scores: DataFrame | None = None,
 ) -> DataFrame:
     """Q5 for all dates at once: raw, calibrated and enhanced forecast per (dt, symbol)."""
-    sections = fc.labelled_sections(stage(features, "features"), target, cfg.standardize)
+    wanted = [c for c in ("dt", "t", "symbol", *FORECAST_COLUMNS, *FEATURES) if c in features.columns]
+    sections = fc.labelled_sections(stage(features.select(*wanted), "features"), target, cfg.standardize)
     beta = stage(fitted(sections, cfg.train, xs), "beta")
     raw = fc.raw_score(sections, beta, [f"{x}_z" for x in xs])
     if scores is not None:
