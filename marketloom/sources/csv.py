@@ -6,6 +6,8 @@ so the reader prunes the rest.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,31 +32,53 @@ def split_csv_line(line: Column) -> Column:
     return F.transform(fields, lambda f: F.replace(f, F.lit('"'), F.lit("")))
 
 
-def read_named_csv(spark: SparkSession, path: str, toggle_quotes: bool = False) -> DataFrame:
-    """All columns as text under their normalised names; the first of two equal names wins.
-
-    ``toggle_quotes`` reads lines and applies S4, for files whose quotes open inside a field.
-    All files of one folder must share their column order, as for any Spark CSV read.
-    """
+def _first_lines(spark: SparkSession, path: str) -> dict[str, str]:
+    """First line of every file of a folder, read through the cluster's file systems."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    lines = {}
+    for uri in spark.read.text(path).inputFiles():
+        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        stream = file.getFileSystem(conf).open(file)
+        try:
+            codec = codecs.getCodec(file)
+            plain = stream if codec is None else codec.createInputStream(stream)
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        if line is not None:
+            lines[file.toString()] = line.removeprefix("\ufeff")
+    return lines
+
+
+def _toggled(line: str) -> list[str]:
+    """S4 for one header line."""
+    cells, quoted = [""], False
+    for c in line.rstrip("\r"):
+        if c == '"':
+            quoted = not quoted
+        elif c == "," and not quoted:
+            cells.append("")
+        else:
+            cells[-1] += c
+    return cells
+
+
+def _read_alike(spark: SparkSession, files: list[str], names: list[str], toggle_quotes: bool) -> DataFrame:
+    """Files that share one header."""
     if toggle_quotes:
-        lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
-        head = lines.limit(1).select(split_csv_line(F.col("value")).alias("h")).first()
-        if head is None:
-            raise ValueError(f"no header in {path}")
-        names = head.h
+        lines = spark.read.text(files).select(F.regexp_replace("value", "\r$", "").alias("value"))
         cells = lines.where(trim_all(F.col("value")) != "").select(
             split_csv_line(F.col("value")).alias("c")
         )
         raw = cells.select(*[F.get("c", F.lit(i)).alias(f"_{i}") for i in range(len(names))])
     else:
-        raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-        names = raw.columns
-        raw = raw.toDF(*[f"_{i}" for i in range(len(names))])
+        schema = ", ".join(f"_{i} string" for i in range(len(names)))
+        reader = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+        raw = reader.csv(files)
     keys: dict[str, int] = {}
     for i, name in enumerate(names):
-        # The reader appends the position to the second of two equal headers.
-        bare = name[: -len(str(i))] if name.endswith(str(i)) and name[: -len(str(i))] in names else name
-        keys.setdefault(header_key(bare), i)
+        keys.setdefault(header_key(name), i)
     out = raw.select(*[F.col(f"_{i}").alias(k) for k, i in keys.items() if k])
     if toggle_quotes:
         # The header comes back as a row of its own names in every file.
@@ -66,6 +90,26 @@ def read_named_csv(spark: SparkSession, path: str, toggle_quotes: bool = False)
     return out
 
 
+def read_named_csv(spark: SparkSession, path: str, toggle_quotes: bool = False) -> DataFrame:
+    """All columns as text under their normalised names; the first of two equal names wins.
+
+    Every file goes by its own header, so column order and columns may differ between the files of a
+    folder; a column that a file lacks is NULL there. ``toggle_quotes`` reads lines and applies S4,
+    for files whose quotes open inside a field.
+    """
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for file, line in _first_lines(spark, path).items():
+        names = _toggled(line) if toggle_quotes else next(csv.reader([line]), [])
+        alike.setdefault(tuple(names), []).append(file)
+    if not alike:
+        raise ValueError(f"no header in {path}")
+    parts = [_read_alike(spark, files, list(names), toggle_quotes) for names, files in alike.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def _number(name: str) -> Column:
     return finite(F.replace(trim_all(F.col(name)), F.lit(","), F.lit("")).try_cast("double"))
 
