@@ -54,7 +54,34 @@ def trailing_view(name, window, half_life, cols):
 
 
 trailing_view("tgram", 252, 60.0, _ALL)
-trailing_view("tgram1", 60, 20.0, ["g_0_0", "g_0_1", "g_1_1", "b_0", "b_1"])
+trailing_view("tgram1", 60, 20.0, _ALL)
+
+
+def solve_views(name, trailing, lam=1.0, n=10):
+    """(G + lam I) beta = b by elimination, one view for each step; then back substitution.
+
+    The matrix is symmetric and positive definite, so no pivoting is needed. View ``name`` has
+    (dt, t, n, beta_0, ...).
+    """
+    g = {(i, j): f"g_{i}_{j}" + (f" + {lam}" if i == j else "") for i in range(n) for j in range(i, n)}
+    cols = [f"{e} AS a_{i}_{j}" for (i, j), e in g.items()] + [f"b_{i} AS y_{i}" for i in range(n)]
+    view(f"{name}_0", f"SELECT dt, t, n, {', '.join(cols)} FROM {trailing}", trailing)
+    for k in range(n - 1):
+        new = [
+            f"a_{i}_{j} - a_{k}_{i} * a_{k}_{j} / a_{k}_{k} AS a_{i}_{j}" for i in range(k + 1, n) for j in range(i, n)
+        ] + [f"y_{i} - a_{k}_{i} * y_{k} / a_{k}_{k} AS y_{i}" for i in range(k + 1, n)]
+        view(f"{name}_{k + 1}", f"SELECT * REPLACE ({', '.join(new)}) FROM {name}_{k}", f"{name}_{k}")
+    last = f"{name}_{n - 1}"
+    for k in range(n - 1, -1, -1):
+        rest = "".join(f" - a_{k}_{j} * beta_{j}" for j in range(k + 1, n))
+        view(f"{name}_back{k}", f"SELECT *, (y_{k}{rest}) / a_{k}_{k} AS beta_{k} FROM {last}", last)
+        last = f"{name}_back{k}"
+    view(name, "SELECT dt, t, n, " + ", ".join(f"beta_{i}" for i in range(n)) + f" FROM {last}", last)
+
+
+solve_views("beta10", "tgram")
+solve_views("beta10s", "tgram1")
+_SCORE10 = " + ".join(f"beta_{i} * {f}_z" for i, f in enumerate(FEATURES))
 
 
 def _spread(g, digits):
@@ -183,19 +210,27 @@ def m6(spark, sf):
     return rounded(out.select("dt", "symbol", "rhat_raw"), 5, "rhat_raw")
 
 
-view(
-    "calz",
-    f"""SELECT r.*, greatest(least({div('rhat_raw - m', 's')}, 3.0), -3.0) AS z FROM raw r
-    JOIN (SELECT dt AS d, avg(rhat_raw) AS m, stddev_pop(rhat_raw) AS s FROM raw GROUP BY dt) ON d = dt""",
-    "raw",
-)
-view(
-    "cal2",
-    f"""SELECT *, sign(z) * CASE WHEN abs(z) <= p50 THEN {div('abs(z)', 'p50')} * 0.003
+view("raw10", f"SELECT z.*, {_SCORE10} AS rhat_raw FROM zed z JOIN beta10 USING (dt)", "zed", "beta10")
+
+
+def calibrated_views(name, raw_scores):
+    view(
+        f"{name}z",
+        f"""SELECT r.*, greatest(least({div('rhat_raw - m', 's')}, 3.0), -3.0) AS z FROM {raw_scores} r
+        JOIN (SELECT dt AS d, avg(rhat_raw) AS m, stddev_pop(rhat_raw) AS s FROM {raw_scores} GROUP BY dt) ON d = dt""",
+        raw_scores,
+    )
+    view(
+        name,
+        f"""SELECT *, sign(z) * CASE WHEN abs(z) <= p50 THEN {div('abs(z)', 'p50')} * 0.003
       ELSE {div('abs(z) - p50', 'p75 - p50')} * (0.010 - 0.003) + 0.003 END AS rhat_cal
-    FROM calz JOIN (SELECT dt AS d, quantile_cont(abs(z), 0.5) AS p50, quantile_cont(abs(z), 0.75) AS p75 FROM calz GROUP BY dt) ON d = dt""",
-    "calz",
-)
+        FROM {name}z JOIN (SELECT dt AS d, quantile_cont(abs(z), 0.5) AS p50, quantile_cont(abs(z), 0.75) AS p75 FROM {name}z GROUP BY dt) ON d = dt""",
+        f"{name}z",
+    )
+
+
+calibrated_views("cal2", "raw")
+calibrated_views("cal10", "raw10")
 
 
 @query("m7_calibrated", sql("SELECT dt, symbol, round(rhat_cal, 7) AS rhat_cal FROM cal2", "cal2"))
@@ -204,19 +239,22 @@ def m7(spark, sf):
     return rounded(out.select("dt", "symbol", "rhat_cal"), 7, "rhat_cal")
 
 
-@query("m8_q5_forecast_two_features", sql(
-    """SELECT dt, symbol, round(rhat_raw, 5) AS rhat_raw, round(rhat_cal, 7) AS rhat_cal,
+_ENHANCED = """SELECT dt, symbol, round(rhat_raw, 5) AS rhat_raw, round(rhat_cal, 7) AS rhat_cal,
     round(rhat_cal * (1 + 0.1 * broker_strength_z + 0.1 * imbalance_z + 0.1 * turnover_share_z)
-      * greatest(0.0, 1 - greatest(coalesce(abs(bias), 0.0) - 0.1, 0.0)), 7) AS rhat_enh FROM cal2""", "cal2"))
+      * greatest(0.0, 1 - greatest(coalesce(abs(bias), 0.0) - 0.1, 0.0)), 7) AS rhat_enh FROM {}"""
+
+
+@query("m8_q5_forecast_two_features", sql(_ENHANCED.format("cal2"), "cal2"))
 def m8(spark, sf):
     out = forecast(features(spark, sf, keep=FORECAST_COLUMNS), Config(), "CC", TWO).select("dt", "symbol", "rhat_raw", "rhat_cal", "rhat_enh")
     return rounded(rounded(out, 5, "rhat_raw"), 7, "rhat_cal", "rhat_enh")
 
 
-@query("q5_forecast")
+@query("q5_forecast", sql(_ENHANCED.format("cal10"), "cal10"))
 def q5(spark, sf):
-    """All ten features, every date; the solve has no SQL, see the optimality queries."""
-    return forecast(features(spark, sf, keep=FORECAST_COLUMNS)).select("dt", "symbol", "rhat_raw", "rhat_cal", "rhat_enh")
+    """All ten features, every date."""
+    out = forecast(features(spark, sf, keep=FORECAST_COLUMNS)).select("dt", "symbol", "rhat_raw", "rhat_cal", "rhat_enh")
+    return rounded(rounded(out, 5, "rhat_raw"), 7, "rhat_cal", "rhat_enh")
 
 
 # ---- risk -------------------------------------------------------------------------------
@@ -311,7 +349,10 @@ def q4_two(spark, sf):
     return rounded(out.select("dt", "symbol", "rhat_raw"), 5, "rhat_raw")
 
 
-@query("q4_stage1_forecast")
+@query("q4_stage1_forecast", sql(
+    f"SELECT dt, symbol, round({_SCORE10}, 5) AS rhat_raw FROM zed JOIN beta10s USING (dt) WHERE zed.t = {AT.format(p='')}",
+    "zed", "beta10s", "cal"))
 def q4(spark, sf):
     at = nth_last(roles.weeks(spark, sf))
-    return risk_and_stage1(features(spark, sf, keep=(*FORECAST_COLUMNS, "adv")), at, RISK)[2]
+    out = risk_and_stage1(features(spark, sf, keep=(*FORECAST_COLUMNS, "adv")), at, RISK)[2]
+    return rounded(out, 5, "rhat_raw")
