@@ -1,21 +1,19 @@
 """Greedy removal of near-duplicate portfolios.
 
 Candidates are taken in order of (objective descending, id); one within the l1 radius of an
-already kept one goes. With ``k_keep`` places the kept set is small, so no candidate is ever
-compared with all others: only with the kept ones. A crowd of copies costs one pass.
+already kept one goes. Candidates lie in a grid of two projections that no l1 distance can exceed, so
+near ones share a cell or are neighbours. Nothing is decided in the driver, and no candidate is compared
+with others but the few best of the cells around it.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marketloom.session import stage
 
-# Weight cells the driver looks at per round; bounds its memory whatever the input.
-PREFIX_CELLS = 1_000_000
-
 
 def near_leaders(weights: DataFrame, leaders: DataFrame, radius: float) -> DataFrame:
     """(cand_id, leader_id, l1) for every candidate within ``radius`` of a leader.
@@ -51,15 +49,63 @@ def near_leaders(weights: DataFrame, leaders: DataFrame, radius: float) -> DataF
     )
 
 
-def _greedy(ids: list[int], vectors: np.ndarray, kept: np.ndarray, radius: float, room: int):
-    chosen: list[int] = []
-    for i, cand in enumerate(ids):
-        if len(chosen) == room:
-            break
-        if len(kept) == 0 or np.abs(kept - vectors[i]).sum(axis=1).min() > radius:
-            chosen.append(cand)
-            kept = np.vstack([kept, vectors[i][None, :]])
-    return chosen, kept
+def placed(weights: DataFrame, radius: float) -> DataFrame:
+    """(cand_id, x, y, own): cell of each candidate in the grid and its total weight.
+
+    A projection adds the weights with signs, so it moves by no more than the l1 distance; the hair
+    on the width keeps rounding from reaching over a cell.
+    """
+    width = max(radius, 1e-12) * (1 + 1e-9)
+
+    def cell(seed: int) -> Column:
+        sign = F.pmod(F.xxhash64("symbol", F.lit(seed)), F.lit(2)) * 2 - 1
+        return F.floor(F.sum(F.col("w") * sign) / width)
+
+    return weights.groupBy("cand_id").agg(cell(1).alias("x"), cell(2).alias("y"), F.sum(F.abs("w")).alias("own"))
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """Each row under its own cell and the eight around it, as (cx, cy)."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    return df.select("*", F.explode(steps).alias("_s")).select(
+        "*", (F.col("x") + F.col("_s.i")).alias("cx"), (F.col("y") + F.col("_s.j")).alias("cy")
+    ).drop("_s")
+
+
+def _first(*more: str) -> Column:
+    """The best of a group: highest objective, then smallest id."""
+    return F.min(F.struct((-F.col("obj")).alias("minus"), "cand_id", *more))
+
+
+def settled(pool: DataFrame) -> DataFrame:
+    """Candidates that come before all undecided ones in their cell and the cells around it."""
+    best = pool.groupBy("x", "y").agg(_first("own").alias("b"))
+    rival = _around(best).groupBy("cx", "cy").agg(F.min("b").alias("r"))
+    same = (F.col("l.x") == F.col("n.cx")) & (F.col("l.y") == F.col("n.cy")) & (F.col("l.b") == F.col("n.r"))
+    return best.alias("l").join(rival.alias("n"), same).select(
+        F.col("l.b.cand_id").alias("cand_id"), (-F.col("l.b.minus")).alias("obj"), "l.x", "l.y", F.col("l.b.own").alias("own")
+    )
+
+
+def _near(pool: DataFrame, leaders: DataFrame, weights: DataFrame, radius: float) -> DataFrame:
+    """cand_id of the pool's candidates within the radius of a leader in a cell around theirs."""
+    by_cell = _around(leaders.select(F.col("cand_id").alias("leader_id"), F.col("own").alias("mass"), "x", "y"))
+    pairs = pool.select("cand_id", "x", "y", "own").join(
+        by_cell.select("leader_id", "mass", F.col("cx").alias("x"), F.col("cy").alias("y")), ["x", "y"]
+    )
+    # Names that only the leader holds are left out: they are its mass less what both hold.
+    held = weights.join(leaders.select("cand_id"), "cand_id", "left_semi").select(
+        F.col("cand_id").alias("leader_id"), "symbol", F.col("w").alias("v")
+    )
+    delta = F.abs(F.col("w") - F.col("v")) - F.abs("v") - F.abs("w")
+    met = pairs.join(weights, "cand_id").join(held, ["leader_id", "symbol"])
+    common = met.groupBy("cand_id", "leader_id").agg(F.sum(delta).alias("delta"))
+    return (
+        pairs.join(common, ["cand_id", "leader_id"], "left")
+        .where(F.coalesce("delta", F.lit(0.0)) + F.col("own") + F.col("mass") <= radius)
+        .select("cand_id")
+        .distinct()
+    )
 
 
 def greedy_keep(
@@ -67,57 +113,34 @@ def greedy_keep(
 ) -> DataFrame:
     """(cand_id, obj, place) of the kept candidates, best first.
 
-    Each round settles the best few undecided candidates exactly and then drops, in one pass
-    over the rest, whatever lies near a kept one. A round keeps at least one candidate, so
-    there are at most ``k_keep`` rounds, and mostly one. Both inputs are read per round: stage
-    them. ``scored`` is (cand_id, obj).
+    A round keeps whoever is first among all undecided candidates in the cells around it, and drops
+    what lies near those. Candidates behind ``k_keep`` kept ones go as well, so that mostly two or
+    three rounds suffice; each keeps one at least. Rounds are staged tables; the driver sees counts
+    and the last kept objective only. Both inputs are read per round: stage them. ``scored`` is
+    (cand_id, obj); a candidate without weights lies at zero.
     """
     if k_keep < 1:
         raise ValueError("k_keep must be positive")
-    spark = scored.sparkSession
-    pool = scored.select("cand_id", "obj")
-    n_names = max(1, weights.agg(F.approx_count_distinct("symbol")).first()[0])
-    size = max(1, min(4 * k_keep, PREFIX_CELLS // n_names))
-    kept: list[tuple[int, float]] = []
-    kept_rows: dict[int, dict[str, float]] = {}
-    while len(kept) < k_keep:
-        head = pool.orderBy(F.desc("obj"), "cand_id").limit(size).collect()
-        if not head:
-            break
-        ids = [r.cand_id for r in head]
-        rows = weights.where(F.col("cand_id").isin(ids)).collect()
-        book: dict[int, dict[str, float]] = {i: {} for i in ids}
-        for r in rows:
-            book[r.cand_id][r.symbol] = r.w
-        symbols = sorted({s for b in (*book.values(), *kept_rows.values()) for s in b})
-        at = {s: i for i, s in enumerate(symbols)}
-
-        def dense(b: dict[str, float]) -> np.ndarray:
-            v = np.zeros(len(symbols))
-            v[[at[s] for s in b]] = list(b.values())
-            return v
-
-        vectors = np.array([dense(book[i]) for i in ids])
-        before = np.array([dense(b) for b in kept_rows.values()]).reshape(-1, len(symbols))
-        chosen, _ = _greedy(ids, vectors, before, radius, k_keep - len(kept))
-        objs = {r.cand_id: r.obj for r in head}
-        kept += [(c, objs[c]) for c in chosen]
-        kept_rows |= {c: book[c] for c in chosen}
-        if len(kept) >= k_keep or len(head) < size:
-            break
-        # The rest starts behind the last settled candidate, minus everything near a kept one.
-        last = head[-1]
-        rest = pool.where(
-            (F.col("obj") < last.obj) | ((F.col("obj") == last.obj) & (F.col("cand_id") > last.cand_id))
-        )
-        if chosen:
-            leaders = spark.createDataFrame(
-                [(c, s, w) for c in chosen for s, w in kept_rows[c].items()],
-                "leader_id bigint, symbol string, w double",
-            )
-            near = near_leaders(weights, leaders, radius).select("cand_id").distinct()
-            rest = rest.join(near, "cand_id", "left_anti")
-        pool = stage(rest, "undecided")
-    return spark.createDataFrame(
-        [(c, o, i + 1) for i, (c, o) in enumerate(kept)], "cand_id bigint, obj double, place int"
-    )
+    at = placed(weights, radius)
+    zero = F.lit(0).cast("bigint")
+    pool = stage(
+        scored.select("cand_id", "obj").join(at, "cand_id", "left").select(
+            "cand_id", "obj", F.coalesce("x", zero).alias("x"), F.coalesce("y", zero).alias("y"),
+            F.coalesce("own", F.lit(0.0)).alias("own"),
+        ),
+        "undecided",
+    )
+    kept = pool.limit(0)
+    while not pool.isEmpty():
+        new = stage(settled(pool), "settled")
+        near = _near(pool, new, weights, radius)
+        rest = pool.join(near, "cand_id", "left_anti").join(new, "cand_id", "left_anti")
+        kept = stage(kept.unionByName(new).orderBy(F.desc("obj"), "cand_id").limit(k_keep), "kept")
+        last = kept.agg(F.count("*").alias("n"), F.max(F.struct((-F.col("obj")).alias("minus"), "cand_id")).alias("z")).first()
+        if last.n == k_keep:
+            minus = -F.col("obj")
+            rest = rest.where((minus < last.z.minus) | ((minus == last.z.minus) & (F.col("cand_id") < last.z.cand_id)))
+        pool = stage(rest.select(*pool.columns), "undecided")
+    # At most k_keep rows.
+    place = F.row_number().over(Window.orderBy(F.desc("obj"), "cand_id"))
+    return kept.select("cand_id", "obj", place.alias("place"))

@@ -139,10 +139,9 @@ def greedy(ids, objs, w, radius, k):
     return [ids[i] for i in kept]
 
 
-@pytest.mark.parametrize("cells", [1_000_000, 60])
-def test_greedy_dedup_equals_brute_force(spark, monkeypatch, cells):
-    """A third of the candidates are copies of one; small prefixes force many rounds."""
-    monkeypatch.setattr(dedup, "PREFIX_CELLS", cells)
+@pytest.mark.parametrize("k_keep", [1, 12, 60])
+def test_greedy_dedup_equals_brute_force(spark, k_keep):
+    """A third of the candidates are copies of one."""
     rng = np.random.default_rng(11)
     base = rng.dirichlet(np.ones(8), size=20)
     w = np.vstack([base[rng.integers(0, 20, 40)], np.repeat(base[:1], 20, axis=0)])
@@ -151,8 +150,8 @@ def test_greedy_dedup_equals_brute_force(spark, monkeypatch, cells):
     long = [(i, f"n{j}", float(w[i, j])) for i in range(60) for j in range(8) if w[i, j] != 0]
     weights = stage(spark.createDataFrame(long, "cand_id bigint, symbol string, w double"), "w")
     scored = spark.createDataFrame([(i, float(o)) for i, o in enumerate(objs)], "cand_id bigint, obj double")
-    got = dedup.greedy_keep(stage(scored, "s"), weights, 0.05, 12).orderBy("place").collect()
-    assert [r.cand_id for r in got] == greedy(list(range(60)), objs, w, 0.05, 12)
+    got = dedup.greedy_keep(stage(scored, "s"), weights, 0.05, k_keep).orderBy("place").collect()
+    assert [r.cand_id for r in got] == greedy(list(range(60)), objs, w, 0.05, k_keep)
 
 
 def test_near_leaders_with_disjoint_names(spark):
