@@ -102,7 +102,8 @@ def dense_panel(cells: DataFrame, cal: DataFrame, constant: Sequence[str] = ())
 
     The grid comes from the gaps: each row stands for the dates up to the next row of its
     symbol, the first one also for those before it. No date x symbol product, no join back.
-    ``constant`` columns belong to the symbol and are repeated on every row.
+    ``constant`` columns belong to the symbol and are repeated on every row. Of several rows of one
+    cell, the largest in the order of its fields (NULL is least) stays, whatever their partitions.
     """
     fields = [c for c in cells.columns if c not in ("symbol", "dt", "t", *constant)]
     on_cal = cells.join(by_date(cal), "dt")
@@ -111,7 +112,7 @@ def dense_panel(cells: DataFrame, cal: DataFrame, constant: Sequence[str] = ())
             Window.unboundedPreceding, Window.unboundedFollowing))
         on_cal = on_cal.withColumn("_known", known).where("_known")
         fields.remove("has_bar")
-    w = in_time()
+    w = Window.partitionBy("symbol").orderBy("t", *fields)
     spans = on_cal.withColumn(
         "_from", F.when(F.lag("t").over(w).isNull(), F.lit(0)).otherwise(F.col("t"))
     ).withColumn("_to", F.coalesce(F.lead("t").over(w), F.col("n_dates")) - 1)

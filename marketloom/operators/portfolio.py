@@ -143,10 +143,11 @@ def score_candidates(
     )
 
 
-def violations(sigma_star: Column, tau: Column, m: float = 1.0) -> Column:
-    """Names of the broken rules, in a fixed order; empty means feasible."""
+def violations(sigma_star: Column, tau: Column, m: float = 1.0, budget: float = 1.0) -> Column:
+    """Names of the broken rules, in a fixed order; empty means feasible. ``budget`` is the total
+    that the weights must have."""
     rules = [
-        ("budget", F.abs(F.col("sum_w") - 1.0) > TOLERANCE),
+        ("budget", F.abs(F.col("sum_w") - budget) > TOLERANCE),
         ("long_only", F.col("min_w") < -TOLERANCE),
         ("risk", F.col("risk") > m * sigma_star + TOLERANCE),
         ("turnover", F.col("turnover") > tau + TOLERANCE),
@@ -158,9 +159,9 @@ def violations(sigma_star: Column, tau: Column, m: float = 1.0) -> Column:
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]))
 
 
-def feasibility(scores: DataFrame, target: RiskTarget = RiskTarget()) -> DataFrame:
+def feasibility(scores: DataFrame, target: RiskTarget = RiskTarget(), budget: float = 1.0) -> DataFrame:
     out = scores.withColumn(
-        "violated", violations(F.lit(target.sigma_star), F.lit(target.tau_max), target.m)
+        "violated", violations(F.lit(target.sigma_star), F.lit(target.tau_max), target.m, budget)
     )
     return out.withColumn("feasible", F.size("violated") == 0)
 
@@ -179,14 +180,16 @@ def sweep_cells(cfg: SweepConfig) -> Column:
     )
 
 
-def sweep(scores: DataFrame, cfg: SweepConfig = SweepConfig(), m: float = 1.0) -> DataFrame:
+def sweep(
+    scores: DataFrame, cfg: SweepConfig = SweepConfig(), m: float = 1.0, budget: float = 1.0
+) -> DataFrame:
     """Every candidate in every cell; the grid rides along as a constant array."""
     cells = scores.select("*", F.explode(sweep_cells(cfg)).alias("_c")).select("*", "_c.*").drop("_c")
     return cells.withColumns(
         {
             "imp_cost": F.col("imp_cost") * F.col("impact_scale"),
             "obj": F.col("ret_part") - F.col("lin_cost") - F.col("imp_cost") * F.col("impact_scale"),
-            "feasible": F.size(violations(F.col("sigma_star"), F.col("tau_max"), m)) == 0,
+            "feasible": F.size(violations(F.col("sigma_star"), F.col("tau_max"), m, budget)) == 0,
         }
     )
 
@@ -209,14 +212,14 @@ def best_per_cell(swept: DataFrame) -> DataFrame:
 
 
 def best_per_candidate(
-    scores: DataFrame, cfg: SweepConfig = SweepConfig(), m: float = 1.0
+    scores: DataFrame, cfg: SweepConfig = SweepConfig(), m: float = 1.0, budget: float = 1.0
 ) -> DataFrame:
     """Q6: each candidate once, under its best feasible cell: the input of the deduplication.
 
     Worked out within the candidate's row: the grid is an array of constants, nothing is shuffled.
     """
     feasible = F.filter(
-        sweep_cells(cfg), lambda c: F.size(violations(c["sigma_star"], c["tau_max"], m)) == 0
+        sweep_cells(cfg), lambda c: F.size(violations(c["sigma_star"], c["tau_max"], m, budget)) == 0
     )
 
     def graded(c: Column) -> Column:
@@ -231,7 +234,9 @@ def best_per_candidate(
     )
 
 
-def objective(scores: DataFrame, cfg: ExecutionConfig = ExecutionConfig()) -> DataFrame:
+def objective(
+    scores: DataFrame, cfg: ExecutionConfig = ExecutionConfig(), budget: float = 1.0
+) -> DataFrame:
     """Return less half the risk penalty, costs and the budget penalty."""
     return scores.withColumn(
         "objective",
@@ -239,7 +244,7 @@ def objective(scores: DataFrame, cfg: ExecutionConfig = ExecutionConfig()) -> Da
         - cfg.lambda_risk / 2.0 * F.col("risk") * F.col("risk")
         - F.col("lin_cost")
         - F.col("imp_cost")
-        - cfg.lambda_budget * (F.col("sum_w") - 1.0) * (F.col("sum_w") - 1.0),
+        - cfg.lambda_budget * (F.col("sum_w") - budget) * (F.col("sum_w") - budget),
     )
 
 
@@ -295,14 +300,14 @@ def to_lots(
     )
 
 
-def execution_result(lots: DataFrame, risk: DataFrame) -> DataFrame:
+def execution_result(lots: DataFrame, risk: DataFrame, budget: float = 1.0) -> DataFrame:
     """Residual budget and realised risk of the rounded portfolios."""
-    budget = lots.groupBy("cand_id").agg(
+    totals = lots.groupBy("cand_id").agg(
         F.sum("w").alias("sum_w"), F.sum("lots").alias("lots"), F.sum("odd").alias("odd")
     )
     return (
-        budget.join(risk, "cand_id")
-        .withColumn("budget_violation", F.abs(F.col("sum_w") - 1.0))
+        totals.join(risk, "cand_id", "left")
+        .withColumn("budget_violation", F.abs(F.col("sum_w") - budget))
         .drop("sum_w")
     )
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from marketloom.functions.indexing import with_row_index
 from marketloom.functions.scalars import finite_or_zero
 
-# Width of a spreadsheet; a wider matrix goes out as long rows or in several sheets.
-SHEET_COLUMNS = 16_384
-
 FLOW_HEADER = ("date", "symbol", "broker_netbuy_topk")
 META_HEADER = ("symbol", "lot", "odd_lot_unit", "industry", "group", "tradable_flag")
 
@@ -68,14 +65,16 @@ def default_label(prefix: str, index: Column) -> Column:
 
 
 def matrix_sheet(
-    cells: DataFrame, row: str, column: str, value: str, columns: Sequence[str]
+    cells: DataFrame, row: str, column: str, value: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """K3: one row per ``row`` label and one column per listed ``column`` label; non-finite is 0.
+    """K3: one row per ``row`` label and one column per ``column`` label; non-finite is 0.
 
-    The columns are listed by the caller, so no extra pass collects them.
+    Without ``columns`` every label gets a column, in order; the labels are column names, so the
+    driver has to know them. Listed columns save that pass and leave the others out.
     """
-    if len(columns) > SHEET_COLUMNS:
-        raise ValueError(f"a sheet has {SHEET_COLUMNS} columns; write several sheets")
+    if columns is None:
+        labels = cells.select(F.col(column).cast("string").alias("c")).where("c IS NOT NULL").distinct()
+        columns = sorted(r.c for r in labels.collect())
     wide = cells.groupBy(row).pivot(column, list(columns)).agg(F.first(value))
     return wide.select(row, *[finite_or_zero(F.col(f"`{c}`")).alias(c) for c in columns])
 

@@ -152,3 +152,32 @@ def test_late_rows_are_counted_and_none_are_lost_without_a_watermark(spark, tmp_
         assert (live.late_rows(q) > 0) == late
         volume = live.snapshot(spark, str(tmp_path / name), ["dt", "symbol"]).agg(F.sum("V")).first()[0]
         assert (volume < 4) == late
+
+
+def test_repeated_cells_leave_the_same_row_whatever_the_partitions(spark):
+    from marketloom.operators.panel import calendar, dense_panel
+
+    rows = [(dt.date(2024, 1, d), s, float(c)) for d, s, c in [(1, "a", 3), (1, "a", 5), (1, "a", 4), (2, "a", 1), (2, "b", 7), (2, "b", 2)]]
+    cells = spark.createDataFrame(rows, "dt date, symbol string, C double")
+    cal = stage(calendar(cells), "cal")
+    for n in (1, 3):
+        got = {(r.symbol, r.t): r.C for r in dense_panel(cells.repartition(n), cal).collect()}
+        assert got == {("a", 0): 5.0, ("a", 1): 1.0, ("b", 0): None, ("b", 1): 7.0}
+
+
+def test_every_label_gets_a_column(spark):
+    from marketloom.sinks.tables import matrix_sheet
+
+    cells = spark.createDataFrame([("x", "a", 1.0), ("x", "b", float("nan")), ("y", "c", 2.0)], "r string, c string, v double")
+    sheet = matrix_sheet(cells, "r", "c", "v")
+    assert sheet.columns == ["r", "a", "b", "c"]
+    assert {tuple(r) for r in sheet.collect()} == {("x", 1.0, 0.0, 0.0), ("y", 0.0, 0.0, 2.0)}
+
+
+def test_budget_is_a_parameter(spark):
+    scores = spark.createDataFrame(
+        [(1, 0.5, 0.0, 0.001, 0.1, 0, 0, 0)],
+        "cand_id bigint, sum_w double, min_w double, risk double, turnover double, over_cap int, over_group int, unpriced int",
+    )
+    assert pf.feasibility(scores).first().violated == ["budget"]
+    assert pf.feasibility(scores, budget=0.5).first().feasible
