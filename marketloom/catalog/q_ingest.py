@@ -175,6 +175,17 @@ def a2(spark, sf):
     return out.select(sc.to_date(F.col("date")).alias("dt"), "code", "value")
 
 
+@query("q1_skipped_input", sql(
+    f"""SELECT dt, count(DISTINCT CAST(symbol AS INTEGER) // {PAGE}) AS responses, 0 AS broken,
+      CASE WHEN day(dt) % 7 = 0 THEN count(DISTINCT CAST(symbol AS INTEGER) // {PAGE}) ELSE 0 END AS not_ok, 0 AS no_data,
+      CASE WHEN day(dt) % 7 = 0 THEN 0 ELSE count(*) + count(CASE WHEN CAST(symbol AS INTEGER) % 5 = 0 THEN 1 END) END AS rows,
+      0 AS short_rows, 0 AS codeless_rows FROM flow GROUP BY dt""", "flow"))
+def q1_skipped(spark, sf):
+    """What the trade scan takes and sets aside, by day."""
+    counts = feeds.response_counts(responses(spark, sf), "date")
+    return counts.withColumn("dt", sc.to_date(F.col("date"))).drop("date")
+
+
 def companies_bodies(spark, sf, whole=False):
     """The company list, paged; unless ``whole``, every fourth supplier is missing from it."""
     n = F.col("s_suppkey")
@@ -231,7 +242,7 @@ _Q2 = f"""SELECT s.symbol, CAST(CASE WHEN etf THEN 100 ELSE 1000 END AS INTEGER)
 
 def q2_table(spark, sf):
     symbols = fl.universe(roles.ticks(spark, sf))
-    return fl.metadata_table(symbols, feeds.read_companies(companies_bodies(spark, sf)))
+    return fl.metadata_table(symbols, feeds.read_companies(companies_bodies(spark, sf), "page"))
 
 
 @query("q2_metadata", _Q2)
@@ -247,7 +258,7 @@ def j3(spark, sf):
 @query("j4_missing_metadata", f"SELECT symbol FROM ({_Q2}) WHERE NOT found")
 def j4(spark, sf):
     symbols = fl.universe(roles.ticks(spark, sf))
-    index = fl.company_index(feeds.read_companies(companies_bodies(spark, sf)))
+    index = fl.company_index(feeds.read_companies(companies_bodies(spark, sf), "page"))
     return symbols.join(index, "symbol", "left_anti")
 
 

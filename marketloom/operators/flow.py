@@ -58,9 +58,10 @@ def flow_table(daily: DataFrame, responses: DataFrame, n_dates: int = FLOW_DATES
 
 
 def company_index(companies: DataFrame) -> DataFrame:
-    """A2 on the company list: one row per code, the last one."""
+    """A2 on the company list: one row per code, the last one; a column ``page`` orders pages."""
     record = F.struct("industry", "market", "sec_type")
-    return last_per_code(companies, value=record).select(
+    pages = ("page",) if "page" in companies.columns else ()
+    return last_per_code(companies, value=record, pages=pages).select(
         F.col("code").alias("symbol"), "value.industry", "value.market", "value.sec_type"
     )
 

@@ -181,3 +181,17 @@ def test_budget_is_a_parameter(spark):
     )
     assert pf.feasibility(scores).first().violated == ["budget"]
     assert pf.feasibility(scores, budget=0.5).first().feasible
+
+
+def test_skipped_responses_are_counted(spark):
+    from marketloom.sources.json_feeds import last_per_code, response_counts
+
+    bodies = [
+        '{"stat":"OK","data":[["2330","n","1"],["1","n"],7,[1,"n","2"]]}', '{"stat":"OK"}', '{"stat":"NO DATA","data":[]}',
+        '{"data":[["2330","n","1"]]}', '{"stat":1}', "{broken", None,
+    ]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    got = response_counts(df).first().asDict()
+    assert got == {"responses": 7, "broken": 2, "not_ok": 3, "no_data": 1, "rows": 4, "short_rows": 2, "codeless_rows": 1}
+    pages = spark.createDataFrame([(1, 9, "a", 1), (2, 0, "a", 2), (1, 3, "a", 3)], "page int, pos int, code string, v int")
+    assert last_per_code(pages, value=F.col("v"), pages=("page",)).first().value == 2
