@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import bounded_batches, stage
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = 3, seed:
     return source.mapInArrow(run, schema)
 
 
-def _ball(key: str, bits: int, *, upper: bool = False) -> F.Column:
+def _ball(key: str, bits: int, *, upper: bool = False) -> Column:
     """The value and its neighbours at one bit; upper: only those not below it."""
     k = F.col(key)
     if not upper:
