@@ -125,7 +125,7 @@ def m2_two(spark, sf):
 
 
 def _gradients(spark, sf, cfg):
-    """(dt, n, feature, beta, gradient of the squared loss) of the ten-feature fit."""
+    """(dt, n, feature, beta, gradient of the squared loss, sum of |G|) of the ten-feature fit."""
     g = stage(fc.trailing_gram(fc.daily_gram(sections(spark, sf), [f"{f}_z" for f in FEATURES]), cfg), "gram")
     beta = fc.fit(g, 10, cfg).select("t", "beta")
     names = fc.gram_layout(10)
@@ -139,6 +139,7 @@ def _gradients(spark, sf, cfg):
             F.lit(FEATURES[i]).alias("feature"),
             F.col("beta")[i].alias("beta"),
             (sum((entry(i, j) * F.col("beta")[j] for j in range(10)), F.lit(0.0)) - F.col("gram")[names.index(f"b_{i}")]).alias("gradient"),
+            sum((F.abs(entry(i, j)) for j in range(10)), F.lit(0.0)).alias("scale"),
         )
         for i in range(10)
     ]
@@ -157,13 +158,14 @@ def m2(spark, sf):
 
 @query("m3_lasso_optimality", sql(_EXPECT, "tgram"))
 def m3(spark, sf):
-    """The lasso fit meets its optimality conditions."""
+    """The lasso fit meets its optimality conditions, to what its tolerance moves a gradient by."""
     cfg = TrainConfig(model="LASSO")
     out = _gradients(spark, sf, cfg)
     still = F.when(
         F.col("beta") == 0, F.greatest(F.abs("gradient") - cfg.lam, F.lit(0.0))
     ).otherwise(F.abs(F.col("gradient") + cfg.lam * F.signum("beta")))
-    return out.select("dt", "n", "feature", (still < 1e-2).alias("optimal"))
+    near = cfg.lasso_tol * F.col("scale") + 1e-9
+    return out.select("dt", "n", "feature", (still <= near).alias("optimal"))
 
 
 @query("m4_boosted_trees")

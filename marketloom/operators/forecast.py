@@ -24,7 +24,7 @@ from marketloom.config import (
 )
 from marketloom.functions.quantiles import exact_quantiles
 from marketloom.functions.scalars import safe_div
-from marketloom.operators.crosssection import zscore
+from marketloom.operators.crosssection import winsorize, zscore
 from marketloom.operators.features import Pair, with_changes
 from marketloom.operators.panel import in_time
 from marketloom.session import by_date, stage
@@ -229,15 +229,18 @@ def labelled_sections(
     target: str = "CC",
     px: StandardizeConfig = StandardizeConfig(),
     label_offset: int = 0,
+    winsorize_label: float = 0.0,
 ) -> DataFrame:
     """M1 with W9: standardised features (``<f>_z``), the raw bias and the label, staged.
 
-    ``features`` is read twice: give it a staged table.
+    ``features`` is read twice: give it a staged table. ``winsorize_label`` > 0 pulls the returns of
+    each date to these quantiles from both ends (W14).
     """
     z = zscore(features, FEATURES, px, suffix="_z")
     kept = ["dt", "t", "symbol", "bias", *[f"{f}_z" for f in FEATURES]]
     labelled = with_changes(z, label=target_return(target, label_offset))
-    return stage(labelled.select(*kept, "label"), "sections")
+    out = stage(labelled.select(*kept, "label"), "sections")
+    return winsorize(out, ["label"], winsorize_label) if winsorize_label > 0 else out
 
 
 def boosted_trees(
