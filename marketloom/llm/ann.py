@@ -97,8 +97,8 @@ def _block_search(queries: DataFrame, rows: DataFrame, keys: list[str], k: int,
     blocks = stage(n_rows.join(n_queries, keys), "ann_blocks")
 
     def dealt(df: DataFrame, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
-        # Which block a row is in does not matter to the result.
-        each = df.join(blocks, keys).withColumn(own_block, F.pmod(F.monotonically_increasing_id(), F.col(own)).cast("int"))
+        # By id, not by place: a task that runs again must deal its rows alike.
+        each = df.join(blocks, keys).withColumn(own_block, F.pmod(F.xxhash64("id", F.lit("block")), F.col(own)).cast("int"))
         return each.withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(
             *keys, "row_block", "query_block", "id", "packed"
         )

@@ -196,12 +196,13 @@ def mix(
         units.alias("u")
         .join(goal.alias("g"), F.col("u.source").eqNullSafe(F.col("g.source")))
         .select(
-            "u.*", whole.alias("whole"),
+            "u.*", F.col("u.doc_id").cast("string").alias("key"), whole.alias("whole"),
             F.when(F.col("size") > 0, F.greatest(expected - whole, F.lit(0.0))).otherwise(F.lit(0.0)).alias("p"),
         ),
         "mix_units",
     )
-    open_ = units.where(F.col("p") > 0).select("source", "doc_id", "size", "p")
+    # Ids travel as text: in pandas, whole numbers beside a null would become floats.
+    open_ = units.where(F.col("p") > 0).select("source", F.col("key").alias("doc_id"), "size", "p")
     taken_extra: list[DataFrame] = []
     number = 0
     while not open_.isEmpty():
@@ -209,13 +210,15 @@ def mix(
         taken_extra.append(flown.where(F.col("p") == 1.0).select("source", "doc_id", "size"))
         open_ = flown.where((F.col("p") > 0) & (F.col("p") < 1))
         number += 1
-    extra = units.select("source", "doc_id", "size").limit(0)
+    extra = units.select("source", F.col("key").alias("doc_id"), "size").limit(0)
     for part in taken_extra:
         extra = extra.unionByName(part)
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("source", "doc_id", "size")]
+    drawn = extra.select("source", F.col("doc_id").alias("key"), "size").withColumn("one", F.lit(1))
+    by_key = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("source", "key", "size")]
     decided = stage(
         units.alias("a")
-        .join(extra.withColumn("one", F.lit(1)).alias("b"), same, "left")
+        .join(drawn.alias("b"), by_key, "left")
         .select("a.*", (F.col("whole") + F.coalesce("one", F.lit(0))).alias("copies")),
         "mix_decided",
     )

@@ -238,7 +238,7 @@ def plain_targets(sizes, weights=(1, 2, 3), cap=3):
 def test_targets_and_totals(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 20, 90])), rng.choice(["b", "B", "é", "z", None])) for i in range(600)]
-    rows += [(1000 + i, "w " * 4, "tiny") for i in range(3)] + [(7000, None, "none"), (None, "w w", "b"), (1, rows[1][1], rows[1][2])]
+    rows += [((1 << 60) + i, "w " * 4, "tiny") for i in range(3)] + [(7000, None, "none"), (None, "w w", "b"), (1, rows[1][1], rows[1][2])]
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id bigint, text string, source string, size int, target string")
     got = mixing.mix(df, block_rows=40).collect()
     assert len(got) == len(rows)
