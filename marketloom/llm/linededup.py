@@ -82,6 +82,9 @@ class LineRuns:
         """One batch of ``keyed_lines`` becomes one run of the lowest level."""
         key = keyed.select(F.explode(F.array_distinct("keys")).alias("k")).where("k.a <> 0 OR k.b <> 0")
         run = key.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("*").alias("n"))
+        # Written first: else the optimiser moves the anti join below the counting, and every single
+        # occurrence of a frequent line goes to one task.
+        run = stage(run, "line_counts")
         self.levels[0].append(self._sorted(self._unsettled(run), "line_run"))
         level = 0
         while len(self.levels[level]) >= self.fanout:
