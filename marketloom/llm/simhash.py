@@ -14,7 +14,7 @@ carries the same components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,10 +171,12 @@ def group(
     )
 
 
-def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def keep_one(
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", grouped_by: Callable[..., DataFrame] | None = None, **options
+) -> DataFrame:
     """Documents without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    A component without any doc_id keeps one row. Where several rows share the smallest doc_id, the one
+    ``grouped_by`` makes the groups, by default ``group``; ``options`` go to it. A component without any doc_id keeps one row. Where several rows share the smallest doc_id, the one
     whose text has the smallest pair of hashes stays; equal texts are the same row up to other columns.
     """
     id_ = F.col(f"`{doc_id}`")
@@ -183,7 +185,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **o
         id_.alias("__id"),
         F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__hash"),
     )
-    grouped = group(
+    grouped = (grouped_by or group)(
         keyed.select("__id", "__hash", F.col(f"__row.`{text}`").alias("__text")), text="__text", doc_id="__id", **options
     )
     alone = F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")
