@@ -27,11 +27,11 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, n: int, text: str, item_id: str) -> DataFrame:
-    """Distinct windows: ``len, w`` (words, space-joined), ``items`` (ids as text)."""
+    """Distinct windows: ``len, w`` (words, space-joined), ``items`` (ids as text; empty if only null ids have it)."""
     words = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), words_of(F.col(f"`{text}`")).alias("words"))
     size = F.size("words")
     starts = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-    each = words.where((size > 0) & F.col("item").isNotNull()).select(
+    each = words.where(size > 0).select(
         "item", F.explode(F.transform(starts, lambda i: F.slice("words", i, n))).alias("win")
     )
     return each.groupBy(F.size("win").alias("len"), F.array_join("win", " ").alias("w")).agg(
@@ -136,8 +136,8 @@ def scan(
     words in them; ``items``, ids of the items with a window in the document, sorted as text.
 
     Null or empty text: no words, no hits. An item with fewer than n words is one window, one without
-    words none. Items with null id or text are skipped; items with the same window are all reported. Repeated documents are
-    each scanned. Empty benchmark: no hits. Other columns of docs are kept in ``__row`` and may have
+    words none. An item with a null id counts for spans and hits, but is not listed; one with a null text has no words. Items
+    with the same window are all reported. Repeated documents are each scanned. Empty benchmark: no hits. Other columns of docs are kept in ``__row`` and may have
     any name.
     """
     windows = stage(windows_of(benchmark, n, item_text, item_id), "decon_set")
