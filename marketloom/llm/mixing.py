@@ -173,7 +173,7 @@ def mix(
 
     Null source: a source of its own, last in order. Null doc_id: allowed, several are repeats of one
     key. Rows that agree in (source, doc_id, size) are one unit of the sampling and share its words
-    evenly, rounded down. A document of size 0 takes 0. Empty table: empty result. Other columns of
+    evenly; what the division leaves goes to some of them, a word each, so that the unit's total is exact. A document of size 0 takes 0. Empty table: empty result. Other columns of
     ``docs`` are not read. The result depends on the rows alone, not on their order or partitions.
     """
     sized = stage(
@@ -213,7 +213,6 @@ def mix(
     extra = units.select("source", F.col("key").alias("doc_id"), "size").limit(0)
     for part in taken_extra:
         extra = extra.unionByName(part)
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("source", "doc_id", "size")]
     drawn = extra.select("source", F.col("doc_id").alias("key"), "size").withColumn("one", F.lit(1))
     by_key = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("source", "key", "size")]
     decided = stage(
@@ -222,14 +221,22 @@ def mix(
         .select("a.*", (F.col("whole") + F.coalesce("one", F.lit(0))).alias("copies")),
         "mix_decided",
     )
+    # The rows of a unit are alike, so they are made from it: one by one, or in blocks that are dealt out.
+    unit = decided.withColumn("words", F.col("size") * F.col("copies"))
+    row = F.struct("source", "doc_id", "size", "copies", "m", "words")
+    single = unit.where("m = 1").select(row.alias("b"), F.lit(0).cast("long").alias("row"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(block_rows).cast("long"))).alias("start")
+    blocks = unit.where("m > 1").select(row.alias("b"), starts)
+    stop = F.least(F.col("start") + block_rows, F.col("b.m")) - 1
+    several = blocks.repartition("b", "start").select("b", F.explode(F.sequence("start", stop)).alias("row"))
+    spare = F.pmod(F.col("b.words"), F.col("b.m"))
+    taken = F.expr("b.words div b.m") + F.when(F.col("row") < spare, 1).otherwise(0)
+    copies = F.when((F.col("b.m") > 1) & (F.col("b.size") > 0), taken / F.col("b.size")).otherwise(F.col("b.copies") / F.col("b.m"))
     return (
-        sized.alias("a")
-        .join(decided.alias("b"), same)
-        .join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source")))
+        single.unionByName(several)
+        .join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")))
         .select(
-            "a.doc_id", "a.size", "g.source_size", "g.target",
-            F.floor(F.col("a.size") * F.col("copies") / F.col("m")).alias("taken"), "a.source",
-            (F.col("copies") / F.col("m")).alias("copies"),
+            "b.doc_id", "b.size", "g.source_size", "g.target", taken.alias("taken"), "b.source", copies.alias("copies")
         )
     )
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketloom.llm import decontaminate
+from marketloom.llm import decontaminate, mixing
 
 
 @pytest.mark.parametrize("max_broadcast", [8_000_000, 0])
@@ -14,3 +14,13 @@ def test_items_without_id_contaminate(spark, max_broadcast):
     assert got == {1: (3, []), 2: (2, ["7"]), 3: (0, [])}
     kept = decontaminate.remove_documents(docs, bench, n=3, max_broadcast=max_broadcast)
     assert [r.doc_id for r in kept.collect()] == [3]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.3, 2.3])
+def test_mix_of_equal_rows_is_exact(spark, share):
+    docs = spark.createDataFrame([(None, "a b c d e", "s")] * 1000 + [(1, "", "s")] * 3, "doc_id bigint, text string, source string")
+    got = mixing.mix(docs, share=share, block_rows=64).collect()
+    assert len(got) == 1003
+    assert sum(r.taken for r in got) == round(5000 * share)
+    assert max(r.taken for r in got if r.size) - min(r.taken for r in got if r.size) <= 1
+    assert all(r.taken == pytest.approx(r.copies * r.size) for r in got if r.size)
