@@ -78,8 +78,8 @@ def train(
 ) -> UrlModel:
     """Fits on a table of ``host, path, block`` (0 or 1); nulls and repeats are left out.
 
-    Of a larger table, about ``max_rows`` rows with the lowest hashes are used. A row with both labels
-    counts for each. No rows: the model allows everything; one class: that class.
+    Of a larger table, about ``max_rows`` rows with the lowest hashes are used, half of them for each label at most;
+    weights restore the labels' shares. A row with both labels counts for each. No rows: the model allows everything; one class: that class.
     """
     rows = labelled.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("block").cast("double").alias("label"))
     rows = rows.where("__host IS NOT NULL AND __path IS NOT NULL AND label IS NOT NULL").distinct()
@@ -88,16 +88,19 @@ def train(
     if not n or low == high:
         model.only = low or 0.0
         return model
+    share = {0.0: 1.0, 1.0: 1.0}
     if n > max_rows:
+        each = dict(rows.groupBy("label").count().collect())
+        share = {v: min(1.0, max_rows / 2 / each[v]) for v in share}
         place = F.pmod(F.xxhash64("__host", "__path"), F.lit(1 << 40))
-        chosen = rows.where(place < int((1 << 40) * max_rows / n))
-        if chosen.select("label").distinct().count() == 2:
-            rows = chosen
+        bound = {v: int((1 << 40) * s) for v, s in share.items()}
+        rows = rows.where(place < F.when(F.col("label") == 1.0, bound[1.0]).otherwise(bound[0.0]))
+    rows = rows.withColumn("__weight", F.when(F.col("label") == 1.0, 1 / share[1.0]).otherwise(1 / share[0.0]))
     # A small table, in one partition and in order, so that sums do not depend on the cluster.
     rows = model.vectors(rows).coalesce(1).sortWithinPartitions("__host", "__path", "label")
     learner = LogisticRegression(
         featuresCol="__features", labelCol="label", predictionCol="__block", rawPredictionCol="__raw",
-        probabilityCol="__prob", regParam=ridge, maxIter=50,
+        probabilityCol="__prob", weightCol="__weight", regParam=ridge, maxIter=50,
     )
     model.fitted = learner.fit(rows)
     return model

@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketloom.llm import decontaminate, mixing
+from marketloom.llm import decontaminate, mixing, urlfilter
 
 
 @pytest.mark.parametrize("max_broadcast", [8_000_000, 0])
@@ -24,3 +24,20 @@ def test_mix_of_equal_rows_is_exact(spark, share):
     assert sum(r.taken for r in got) == round(5000 * share)
     assert max(r.taken for r in got if r.size) - min(r.taken for r in got if r.size) <= 1
     assert all(r.taken == pytest.approx(r.copies * r.size) for r in got if r.size)
+
+
+def test_rare_url_label_keeps_the_table_small(spark, monkeypatch):
+    sizes = []
+
+    class Learner(urlfilter.LogisticRegression):
+        def fit(self, df):
+            sizes.append({r.label: (r["count"], r.w) for r in df.groupBy("label").agg(
+                urlfilter.F.count("*").alias("count"), urlfilter.F.sum("__weight").alias("w")).collect()})
+            return super().fit(df)
+
+    monkeypatch.setattr(urlfilter, "LogisticRegression", Learner)
+    table = [(f"h{i}.net", f"/p/{i}", 1) for i in range(3000)] + [("only.edu", "/library", 0)]
+    model = urlfilter.train(spark.createDataFrame(table, "host string, path string, block int"), max_rows=20)
+    assert model.fitted is not None
+    assert sizes[0][0.0][0] == 1 and 1 <= sizes[0][1.0][0] <= 40
+    assert sizes[0][1.0][1] == pytest.approx(300 * sizes[0][1.0][0])
