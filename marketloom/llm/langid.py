@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import bounded_batches
+from marketloom.llm.common import bounded_batches, stage
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -144,23 +144,25 @@ def train(
     lang: str = "lang",
     doc_id: str = "doc_id",
     per_lang: int = 1000,
-    max_langs: int = 64,
+    max_docs: int = 64_000,
+    least: int = 20,
     per_doc: int = 6,
     **options,
 ) -> ByteConv | None:
     """Fits on a sample of the rows of ``docs`` that have a language and a letter; None if there are none.
 
-    Sample: the ``max_langs`` most frequent languages (ties by name), about ``per_lang`` documents of
-    each, chosen by the hash of their id, ``per_doc`` windows of each, evenly spaced over the text.
+    Sample: about ``per_lang`` documents of every language, fewer where these would be more than ``max_docs``, but not
+    below ``least``; chosen by the hash of their id, ``per_doc`` windows of each, evenly spaced over the text.
     """
     bounded_batches(docs.sparkSession)
     marked = docs.select(
         F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = marked.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    counts = stage(marked.groupBy("lang").agg(F.count("*").alias("n")), "langid_counts")
+    per_lang = min(per_lang, max(least, max_docs // max(1, counts.count())))
     share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))
     place = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    chosen = marked.join(F.broadcast(counts), "lang").where(place < share).select("id", "lang", "text")
+    chosen = marked.join(counts, "lang").where(place < share).select("id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

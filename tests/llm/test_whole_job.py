@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketloom.llm import decontaminate, mixing, urlfilter
+from marketloom.llm import decontaminate, langid, mixing, urlfilter
 
 
 @pytest.mark.parametrize("max_broadcast", [8_000_000, 0])
@@ -41,3 +41,9 @@ def test_rare_url_label_keeps_the_table_small(spark, monkeypatch):
     assert model.fitted is not None
     assert sizes[0][0.0][0] == 1 and 1 <= sizes[0][1.0][0] <= 40
     assert sizes[0][1.0][1] == pytest.approx(300 * sizes[0][1.0][0])
+
+
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + i, f"word{chr(97 + k % 26)} " * 5, f"x{k}") for k in range(70) for i in range(3 if k else 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert langid.train(docs, epochs=0).langs == sorted({r[2] for r in rows})
