@@ -1,11 +1,11 @@
-"""The ten operators as queries over the supplied tables, with SQL where SQL can tell the rows."""
+"""The operators of this subpackage as queries over the supplied tables, with SQL where SQL can tell the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, decontaminate, langid, linededup, lm, mixing, quality, simhash, urlfilter, warc
+from marketloom.llm import ann, decontaminate, langid, linededup, lm, mixing, packing, quality, simhash, urlfilter, warc
 from marketloom.llm.common import fold, read
 from marketloom.llm.registry import ORACLES, QUERIES, query
 
@@ -164,3 +164,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weigh 1, 2, 3, repeating, and share all words; no document is taken more than three times."""
     return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of power-of-two lengths up to 2,048, of one document each."""
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
