@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, decontaminate, langid, linededup, lm, mixing, packing, quality, simhash, urlfilter, warc
-from marketloom.llm.common import fold, read
+from marketloom.llm import ann, decontaminate, langid, linededup, lm, mixing, packing, periodic, quality, simhash, urlfilter, warc
+from marketloom.llm.common import WORD, fold, read
 from marketloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -176,3 +176,37 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by h = crc32 of the id) repeats a unit of its own words from a place of its own on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    some = docs.select("doc_id", "text", h.alias("h")).withColumn(
+        "w", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    )
+    g, n = F.floor(F.col("h") / 10), F.greatest(F.size("w"), F.lit(1))
+    a = (g % n).cast("int")
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
+    unit = F.slice("w", a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), a), tail), " ")
+    return some.select("doc_id", F.when(F.size("w") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of them made to repeat."""
+    found = periodic.find(repeating(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = periodic.strongest().alias("best")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return found.select("__row.doc_id", "runs", "collapsed", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.lit(1000).cast("long") * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
