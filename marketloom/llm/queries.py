@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import ann, decontaminate, langid, linededup, lm, mixing, packing, periodic, quality, simhash, urlfilter, warc
+from marketloom.llm import ann, conversations, decontaminate, langid, linededup, lm, mixing, packing, periodic, quality, simhash, urlfilter, warc
 from marketloom.llm.common import WORD, fold, read
 from marketloom.llm.registry import ORACLES, QUERIES, query
 
@@ -210,3 +210,107 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows dropped (not ``live``), emptied, without ends of sentences, repeated or given to the user by crc32 of their
+    place. Nulls count as one space."""
+    space = F.lit(" ")
+    name = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space))
+    some = rows.select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"),
+        F.pmod(F.crc32(name.cast("binary")), F.lit(20)).alias("kind"),
+    )
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    row = F.struct(F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+    times = F.when(F.col("kind") == 3, 2).otherwise(1)
+    return some.select("conv_id", "turn", (F.col("kind") != 0).alias("live"), F.explode(F.array_repeat(row, times)).alias("r")).select(
+        "conv_id", "turn", "live", "r.role", "r.text"
+    )
+
+
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), c -> [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    (c, b) -> xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))"""
+
+
+def _edit(cost: str, letter: str, after: str, line: str | None) -> str:
+    text = f"list_prepend({line}, {after}.t)" if line else f"{after}.t"
+    return f"{{'c': {after}.c + {cost}, 'a': '{letter}' || {after}.a, 't': {text}}}"
+
+
+def _options(state: int) -> str:
+    """Edits of one row in SQL, the cheapest first."""
+    wanted = {0: "user", 1: "user", 2: "assistant", 3: "user"}[state]
+    to = {"user": "f2", "assistant": "f3"}[wanted]
+    out = [_edit("2", "D", f"f{state}", None)]
+    out.append(f"CASE WHEN fault < 2 AND initial = '{wanted[0]}' THEN {_edit('5 * fault', 'K', to, 'line')} END")
+    if state == 0:
+        out.append(f"CASE WHEN fault < 2 AND initial = 's' THEN {_edit('5 * fault', 'K', 'f1', 'line')} END")
+    renamed = f"'{wanted}:' || text"
+    out.append(f"CASE WHEN fault < 2 THEN {_edit('1 + 5 * fault', 'R', to, renamed)} END")
+    return f"list_sort(list_filter([{', '.join(out)}], x -> x IS NOT NULL))[1] AS b{state}"
+
+
+def _inserting(state: int, to: str) -> str:
+    wanted = "assistant" if state == 2 else "user"
+    inserted = _edit("5", "I", to, f"'{wanted}:'")
+    return f"list_sort([b{state}, {inserted}])[1] AS f{state}"
+
+
+_OP12_SQL = rf"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor({_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")}, 4294967295) % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS nth
+  FROM base WHERE kind <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), nth) AS i FROM damaged
+), marked AS (
+  SELECT conv_id, turn, i, role, text, left(role, 1) AS initial, role || ':' || text AS line,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 3
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 1 ELSE 0 END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM ordered
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 3) AS blank,
+         count_if(fault = 2) AS duplicate, count_if(fault = 1) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), walked AS (
+  SELECT conv_id, max(i) + 1 AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS f0,
+         {{'c': 10::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS f1,
+         {{'c': 5::BIGINT, 'a': 'I', 't': ['assistant:']}} AS f2, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS f3
+  FROM marked GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, {_inserting(0, "f2")}, {_inserting(1, "f2")}, f2, f3
+  FROM (
+    SELECT *, {_inserting(2, "b3")}, {_inserting(3, "b2")}
+    FROM (
+      SELECT m.conv_id, m.i, {", ".join(_options(k) for k in range(4))}
+      FROM walked w JOIN marked m ON w.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = w.i - 1
+    )
+  )
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.f0.c, 0) AS cost, coalesce(w.f0.a, '') AS audit,
+       sha256(coalesce(array_to_string(w.f0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN walked w ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = 1
+"""
+
+
+@query("op12_conversation_repair", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, the cheapest edits that repair each, and a digest of the result."""
+    fixed = conversations.repair(damaged(read(spark, sf_dir, "conversations")), live="live")
+    digests = conversations.digests(fixed.turns).withColumnRenamed("conv_id", "of")
+    table = fixed.conversations
+    return table.join(digests, table["conv_id"].eqNullSafe(digests["of"]), "left").select(
+        *table.columns, F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    )
