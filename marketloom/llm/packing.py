@@ -10,27 +10,57 @@ counter in that partition, so it is unique, and numbers in order go bucket by bu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import bounded_batches
 
-MAX_CACHED_WORDS = 500_000
+MAX_CACHED_WORDS = 700_000
 _FLUSH_BYTES = 4 << 20
 _PART_BITS, _ROW_BITS = 24, 32
 _loaded: dict[tuple, Encoder] = {}
+_TRAILING = regex.compile(r"(.*\p{L})([!-/:-@\[-`{-~]+)", regex.DOTALL | regex.VERSION0)
+
+
+def _ascii_pattern(path: str) -> regex.Pattern | None:
+    """The tokenizer's own pattern of pieces, if all it does to printable ASCII is lower-casing and that cut."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    cut, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    as_bytes = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+    matches = cut.get("type") == "Split" and cut["behavior"] == "Removed" and cut["invert"] and "Regex" in cut["pattern"]
+    if before != ["NFC", "Replace", "Lowercase"] or not (matches and as_bytes):
+        return None
+    return regex.compile(cut["pattern"]["Regex"])
+
+
+class _Words(dict):
+    """Ids by word; a missing word is looked up by ``learn`` and kept."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
 
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit integers.
 
     ``by_words``: for tokenizers that drop white space and never look across it. Each distinct word is then encoded
-    once and looked up afterwards; the ids are those of the whole text. The table of words is emptied when it is full.
+    once and looked up afterwards; the ids are those of the whole text. Words of printable ASCII are cut by the
+    tokenizer's own pattern first, as the same pieces stand in many words; others lose what ASCII signs follow their last
+    letter. A full table is emptied; words stay for one more turn.
     """
 
     def __init__(self, path: str, by_words: bool, max_words: int = MAX_CACHED_WORDS):
@@ -39,23 +69,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
         self.by_words, self.max_words = by_words, max_words
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        self.known = _Words(self._word)
+        self.old: dict[bytes, bytes] = {}  # the words before the last time the table was full
+        self.pieces: dict[str, bytes] = {}
+        self.pattern = _ascii_pattern(path) if by_words else None
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            found = [t.id for t in self.tokenizer.model.tokenize(piece)]
+            ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def _stem(self, stem: str) -> bytes:
+        ids = self.pieces.get(stem)
+        if ids is None:
+            ids = self.pieces[stem] = self._whole(stem)
+        return ids
+
+    def _word(self, w: bytes) -> bytes:
+        if w in self.old:
+            return self.old[w]
+        word = w.decode()
+        if self.pattern is None:
+            return self._whole(word)
+        if w.isascii() and word.isprintable():
+            return b"".join(map(self._piece, self.pattern.findall(word.lower())))
+        cut = _TRAILING.fullmatch(word)
+        return self._stem(cut[1]) + self._piece(cut[2]) if cut else self._stem(word)
 
     def encode(self, text: str) -> bytes:
         if not self.by_words:
-            return self._ids([text])[0]
-        words = text.encode().split()
+            return self._whole(text)
         if len(self.known) > self.max_words:
-            self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.known.update(zip(part, self._ids([w.decode() for w in part])))
-        return b"".join(map(self.known.__getitem__, words))
+            self.old, self.known = self.known, _Words(self._word)
+        if len(self.pieces) > self.max_words:
+            self.pieces = {}
+        return b"".join(map(self.known.__getitem__, text.encode().split()))
 
 
 def _encoder(path: str, by_words: bool) -> Encoder:

@@ -53,7 +53,7 @@ def test_query_equals_plain_tokenization(spark, sf):
 ODD = [
     (1, "Don't cut  me\tHERE\n\x0bor\xa0there", "x"), (2, None, None), (3, "", "x"), (4, " \n ", "x"), (None, "one TWO", "x"),
     (6, "a <|endoftext|> b<|startoftext|>c", "x"), (7, "é ́e ΟΔΟΣ ΟΔΟΣ. \x1c! \x85? 漢字かな 12th  z", "x"),
-    (8, " ".join(f"Word{i % 977}'s" for i in range(40_000)), "x"),
+    (9, "a!!b12'll''s ~tilde~ ##end## x\x00y \x1f \x7f O'REILLY'S don't've été!! l'été's… élan…! É.É! naïve's' ñ'll'", "x"), (8, " ".join(f"Word{i % 977}'s" for i in range(40_000)), "x"),
 ]
 
 
@@ -76,7 +76,7 @@ def test_repeated_rows_and_full_word_table(spark, monkeypatch):
     small = packing.Encoder(PATH, True, max_words=2)
     for text in ("a b c d", "c d e f g", "a a a"):
         assert np.frombuffer(small.encode(text), "<u4").tolist() == plain_ids(text)[:-1]
-        assert len(small.known) <= 8
+        assert max(len(small.known), len(small.old), len(small.pieces)) <= 8
 
 
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 1000, 4096])
