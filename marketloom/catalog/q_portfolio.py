@@ -24,6 +24,7 @@ from marketloom.operators import portfolio as pf
 from marketloom.operators import risk as rk
 from marketloom.operators.crosssection import winsorize, zscore
 from marketloom.operators.features import build_features
+from marketloom.operators.neighbours import near_links
 from marketloom.operators.panel import nth_last
 from marketloom.plans.decide import choose_candidates, execute
 from marketloom.session import stage
@@ -395,6 +396,17 @@ def u2(spark, sf):
     return dd.greedy_keep(stage(crowd_objective(c), "objectives"), c, 0.02, 30)
 
 
+@query("j9_link_counts", sql(
+    """SELECT c.cand_id, c.class_id, c.n - 1 AS n_equal, count(p.m) AS n_links FROM (
+      SELECT cand_id, min(cand_id) OVER (PARTITION BY ws) AS class_id, count(*) OVER (PARTITION BY ws) AS n
+      FROM (SELECT cand_id, list(w ORDER BY symbol) AS ws FROM crowd GROUP BY 1)) c
+    LEFT JOIN (SELECT a.cand_id, b.cand_id AS m FROM crowd a JOIN crowd b ON a.symbol = b.symbol AND a.cand_id <> b.cand_id
+      GROUP BY 1, 2 HAVING sum(abs(a.w - b.w)) <= 0.02) p ON p.cand_id = c.cand_id GROUP BY ALL""", "crowd"))
+def j9_counts(spark, sf):
+    """All links among all candidates, copies included."""
+    return near_links(stage(crowd(spark, sf), "crowd"), 0.02).counts()
+
+
 @query("j9_near_duplicates", sql(
     """SELECT c.cand_id, l.cand_id AS leader_id, round(sum(abs(c.w - v.w)), 8) AS l1 FROM crowd c JOIN crowd v ON v.symbol = c.symbol
     JOIN leaders l ON l.cand_id = v.cand_id GROUP BY 1, 2 HAVING sum(abs(c.w - v.w)) <= 0.02""", "crowd", "leaders"))

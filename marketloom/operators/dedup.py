@@ -1,14 +1,15 @@
 """Greedy removal of near-duplicate portfolios.
 
 Candidates are taken in order of (objective descending, id); one within the l1 radius of an
-already kept one goes. Candidates lie in a grid of two projections that no l1 distance can exceed, so
-near ones share a cell or are neighbours. Nothing is decided in the driver, and no candidate is compared
-with others but the few best of the cells around it.
+already kept one goes. Only the best can be kept, so a few of them are settled at a time. All links among all
+candidates are in ``operators.neighbours``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,98 +50,80 @@ def near_leaders(weights: DataFrame, leaders: DataFrame, radius: float) -> DataF
     )
 
 
-def placed(weights: DataFrame, radius: float) -> DataFrame:
-    """(cand_id, x, y, own): cell of each candidate in the grid and its total weight.
-
-    A projection adds the weights with signs, so it moves by no more than the l1 distance; the hair
-    on the width keeps rounding from reaching over a cell.
-    """
-    width = max(radius, 1e-12) * (1 + 1e-9)
-
-    def cell(seed: int) -> Column:
-        sign = F.pmod(F.xxhash64("symbol", F.lit(seed)), F.lit(2)) * 2 - 1
-        return F.floor(F.sum(F.col("w") * sign) / width)
-
-    return weights.groupBy("cand_id").agg(cell(1).alias("x"), cell(2).alias("y"), F.sum(F.abs("w")).alias("own"))
-
-
-def _around(df: DataFrame) -> DataFrame:
-    """Each row under its own cell and the eight around it, as (cx, cy)."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return df.select("*", F.explode(steps).alias("_s")).select(
-        "*", (F.col("x") + F.col("_s.i")).alias("cx"), (F.col("y") + F.col("_s.j")).alias("cy")
-    ).drop("_s")
-
-
-def _first(*more: str) -> Column:
-    """The best of a group: highest objective, then smallest id."""
-    return F.min(F.struct((-F.col("obj")).alias("minus"), "cand_id", *more))
-
-
-def settled(pool: DataFrame) -> DataFrame:
-    """Candidates that come before all undecided ones in their cell and the cells around it."""
-    best = pool.groupBy("x", "y").agg(_first("own").alias("b"))
-    rival = _around(best).groupBy("cx", "cy").agg(F.min("b").alias("r"))
-    same = (F.col("l.x") == F.col("n.cx")) & (F.col("l.y") == F.col("n.cy")) & (F.col("l.b") == F.col("n.r"))
-    return best.alias("l").join(rival.alias("n"), same).select(
-        F.col("l.b.cand_id").alias("cand_id"), (-F.col("l.b.minus")).alias("obj"), "l.x", "l.y", F.col("l.b.own").alias("own")
-    )
-
-
-def _near(pool: DataFrame, leaders: DataFrame, weights: DataFrame, radius: float) -> DataFrame:
-    """cand_id of the pool's candidates within the radius of a leader in a cell around theirs."""
-    by_cell = _around(leaders.select(F.col("cand_id").alias("leader_id"), F.col("own").alias("mass"), "x", "y"))
-    pairs = pool.select("cand_id", "x", "y", "own").join(
-        by_cell.select("leader_id", "mass", F.col("cx").alias("x"), F.col("cy").alias("y")), ["x", "y"]
-    )
-    # Names that only the leader holds are left out: they are its mass less what both hold.
-    held = weights.join(leaders.select("cand_id"), "cand_id", "left_semi").select(
-        F.col("cand_id").alias("leader_id"), "symbol", F.col("w").alias("v")
-    )
-    delta = F.abs(F.col("w") - F.col("v")) - F.abs("v") - F.abs("w")
-    met = pairs.join(weights, "cand_id").join(held, ["leader_id", "symbol"])
-    common = met.groupBy("cand_id", "leader_id").agg(F.sum(delta).alias("delta"))
-    return (
-        pairs.join(common, ["cand_id", "leader_id"], "left")
-        .where(F.coalesce("delta", F.lit(0.0)) + F.col("own") + F.col("mass") <= radius)
-        .select("cand_id")
-        .distinct()
-    )
+def _greedy(batch: pd.DataFrame, radius: float) -> list[bool]:
+    """Which of the candidates (``w`` maps names to weights, best first) stay."""
+    names = {n: k for k, n in enumerate(sorted({n for w in batch["w"] for n in w}))}
+    x = np.zeros((len(batch), len(names)))
+    for i, w in enumerate(batch["w"]):
+        for n, v in w.items():
+            x[i, names[n]] = v or 0.0
+    kept: list[int] = []
+    for i in range(len(x)):
+        if not kept or np.abs(x[kept] - x[i]).sum(axis=1).min() > radius:
+            kept.append(i)
+    stays = np.zeros(len(x), bool)
+    stays[kept] = True
+    return stays.tolist()
 
 
 def greedy_keep(
-    scored: DataFrame, weights: DataFrame, radius: float = 0.02, k_keep: int = 30
+    scored: DataFrame, weights: DataFrame, radius: float = 0.02, k_keep: int = 30, batch: int = 256
 ) -> DataFrame:
     """(cand_id, obj, place) of the kept candidates, best first.
 
-    A round keeps whoever is first among all undecided candidates in the cells around it, and drops
-    what lies near those. Candidates behind ``k_keep`` kept ones go as well, so that mostly two or
-    three rounds suffice; each keeps one at least. Rounds are staged tables; the driver sees counts
-    and the last kept objective only. Both inputs are read per round: stage them. ``scored`` is
-    (cand_id, obj); a candidate without weights lies at zero.
+    A round takes the ``batch`` best undecided candidates, settles them among themselves by their true distances in one
+    small task, and drops from the rest whoever is near a kept one. Each round keeps one at least, and it ends as
+    soon as ``k_keep`` are kept, so mostly one round suffices whatever the objectives follow. Rounds are staged tables; the
+    driver sees counts. Both inputs are read per round: stage them. ``scored`` is (cand_id, obj), a null objective is the
+    worst; a candidate without weights lies at zero.
     """
-    if k_keep < 1:
-        raise ValueError("k_keep must be positive")
-    at = placed(weights, radius)
-    zero = F.lit(0).cast("bigint")
-    pool = stage(
-        scored.select("cand_id", "obj").join(at, "cand_id", "left").select(
-            "cand_id", "obj", F.coalesce("x", zero).alias("x"), F.coalesce("y", zero).alias("y"),
-            F.coalesce("own", F.lit(0.0)).alias("own"),
-        ),
-        "undecided",
-    )
-    kept = pool.limit(0)
-    while not pool.isEmpty():
-        new = stage(settled(pool), "settled")
-        near = _near(pool, new, weights, radius)
-        rest = pool.join(near, "cand_id", "left_anti").join(new, "cand_id", "left_anti")
-        kept = stage(kept.unionByName(new).orderBy(F.desc("obj"), "cand_id").limit(k_keep), "kept")
-        last = kept.agg(F.count("*").alias("n"), F.max(F.struct((-F.col("obj")).alias("minus"), "cand_id")).alias("z")).first()
-        if last.n == k_keep:
-            minus = -F.col("obj")
-            rest = rest.where((minus < last.z.minus) | ((minus == last.z.minus) & (F.col("cand_id") < last.z.cand_id)))
-        pool = stage(rest.select(*pool.columns), "undecided")
-    # At most k_keep rows.
-    place = F.row_number().over(Window.orderBy(F.desc("obj"), "cand_id"))
-    return kept.select("cand_id", "obj", place.alias("place"))
+    if k_keep < 1 or batch < 1:
+        raise ValueError("k_keep and batch must be positive")
+    order = (F.col("obj").desc_nulls_last(), F.col("cand_id"))
+    pool = scored.select("cand_id", "obj")
+    kept, n = None, 0
+    kind = pool.schema["cand_id"].dataType.simpleString()
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("nth")
+        return rows.loc[_greedy(rows, radius), ["cand_id", "obj"]]
+
+    while n < k_keep:
+        best = stage(pool.orderBy(*order).limit(batch), "best")
+        held = weights.join(best.select("cand_id"), "cand_id", "left_semi").groupBy("cand_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("symbol", "w"))).alias("w")
+        )
+        # At most ``batch`` rows.
+        place = F.row_number().over(Window.orderBy(*order))
+        some = best.join(held, "cand_id", "left").select(
+            "cand_id", "obj", F.coalesce("w", F.create_map().cast("map<string,double>")).alias("w"), place.alias("nth"), F.lit(0).alias("one")
+        )
+        new = stage(some.groupBy("one").applyInPandas(settle, f"cand_id {kind}, obj double"), "settled")
+        found = new.count()
+        if not found:
+            break
+        kept = new if kept is None else kept.unionByName(new)
+        n += found
+        if n >= k_keep:
+            break
+        leaders = stage(weights.join(new.select("cand_id"), "cand_id", "left_semi").withColumnRenamed("cand_id", "leader_id"), "leaders")
+        rest = pool.join(best.select("cand_id"), "cand_id", "left_anti")
+        near = near_leaders(weights, leaders, radius).select("cand_id")
+        rest = rest.join(near, "cand_id", "left_anti")
+        # Whoever is near zero goes if a kept candidate holds nothing; it has no weights to join on.
+        pool = stage(_without_empty(rest, weights, new, radius), "undecided")
+    kept = pool.limit(0) if kept is None else kept
+    return kept.select("cand_id", "obj", F.row_number().over(Window.orderBy(*order)).alias("place")).where(F.col("place") <= k_keep)
+
+
+def _without_empty(rest: DataFrame, weights: DataFrame, kept: DataFrame, radius: float) -> DataFrame:
+    """Candidates whose total weight is within the radius are near a kept one without weights, and those without any
+    are near a kept one whose total is."""
+    mass = weights.groupBy("cand_id").agg(F.sum(F.abs("w")).alias("mass"))
+    light = kept.join(mass, "cand_id", "left").select(F.coalesce("mass", F.lit(0.0)).alias("m")).agg(F.min("m")).first()[0]
+    if light > radius:
+        return rest
+    own = F.coalesce("mass", F.lit(0.0))
+    alone = rest.join(mass, "cand_id", "left")
+    near = (own <= radius) if light == 0 else (own == 0)
+    return alone.where(~near).select(*rest.columns)
