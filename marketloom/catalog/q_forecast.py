@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from marketloom.catalog import roles
 from marketloom.catalog.base import query, rounded, sql, view
-from marketloom.catalog.q_panel import features, weekly
+from marketloom.catalog.q_panel import features, weekly_and_calendar
 from marketloom.catalog.views import W, chg, div
 from marketloom.config import FEATURES, STAGE1, Config, RiskConfig, TrainConfig
 from marketloom.operators import forecast as fc
 from marketloom.operators import risk as rk
-from marketloom.operators.panel import nth_last
+from marketloom.operators.panel import day_before_last
 from marketloom.plans.daily import FORECAST_COLUMNS, fitted, forecast, risk_and_stage1, risk_panel
 from marketloom.session import stage
 
@@ -170,8 +170,8 @@ def m3(spark, sf):
 
 @query("m4_boosted_trees")
 def m4(spark, sf):
-    at = nth_last(roles.weeks(spark, sf))
-    return fc.boosted_trees(sections(spark, sf), at)
+    z = sections(spark, sf)
+    return fc.boosted_trees(z, day_before_last(z))
 
 
 view(
@@ -270,7 +270,7 @@ def risk_views(p):
         f"{p}rets",
         f"""SELECT symbol, t, coalesce(r, 0.0) AS r, pow(2.0, (t - {at}) / 30.0) AS w
         FROM (SELECT symbol, t, {chg('C', f'lag(C) OVER {W}')} AS r FROM {p}wins)
-        WHERE t > greatest({at} - 252, 0) AND t <= {at}""",
+        WHERE t > 0 AND t <= {at}""",
         f"{p}wins", f"{p}cal",
     )
     view(
@@ -305,7 +305,7 @@ RISK = RiskConfig(block_size=16)
 
 @query("r1_name_volatility_gk", sql("SELECT symbol, t, round(gk_vol, 6) AS sigma FROM wins", "wins"))
 def r1(spark, sf):
-    out = rk.name_volatility(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)))
+    out = rk.name_volatility(risk_panel(*weekly_and_calendar(spark, sf)))
     return out.select("symbol", "t", F.round("sigma", 6).alias("sigma"))
 
 
@@ -314,29 +314,44 @@ def r1(spark, sf):
       THEN stddev_samp(r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END, 6) AS sigma
     FROM (SELECT symbol, t, {chg('C', f'lag(C) OVER {W}')} AS r FROM wins)""", "wins"))
 def r1_std(spark, sf):
-    out = rk.name_volatility(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)), RiskConfig(sigma_source="STD"))
+    out = rk.name_volatility(risk_panel(*weekly_and_calendar(spark, sf)), RiskConfig(sigma_source="STD"))
     return out.select("symbol", "t", F.round("sigma", 6).alias("sigma"))
 
 
+def day_risk(spark, sf):
+    panel = risk_panel(*weekly_and_calendar(spark, sf))
+    return rk.liquidity_scaled_risk(panel, day_before_last(panel), RISK)
+
+
 @query("j7_a6_decayed_correlation", sql("SELECT sym_i, sym_j, round(rho, 6) AS rho FROM cov", "cov"))
 def a6(spark, sf):
-    at = nth_last(roles.weeks(spark, sf))
-    _, cov = rk.liquidity_scaled_risk(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)), at, RISK)
-    return rounded(cov.select("sym_i", "sym_j", "rho"), 6, "rho")
+    _, cov = day_risk(spark, sf)
+    return rounded(cov.pairs().select("sym_i", "sym_j", "rho"), 6, "rho")
 
 
 @query("r2_liquidity_scaled_covariance", sql("SELECT sym_i, sym_j, round(cov, 5) AS cov FROM cov", "cov"))
 def r2(spark, sf):
-    at = nth_last(roles.weeks(spark, sf))
-    _, cov = rk.liquidity_scaled_risk(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)), at, RISK)
-    return rounded(cov.select("sym_i", "sym_j", "cov"), 5, "cov")
+    _, cov = day_risk(spark, sf)
+    return rounded(cov.pairs().select("sym_i", "sym_j", "cov"), 5, "cov")
+
+
+@query("r2_asked_pairs", sql(
+    """SELECT sym_i, sym_j, round(cov, 5) AS cov FROM (SELECT sym_i, sym_j, cov FROM cov UNION ALL
+      SELECT sym_j, sym_i, cov FROM cov WHERE sym_i <> sym_j) WHERE CAST(sym_i AS INTEGER) + 1 = CAST(sym_j AS INTEGER) OR sym_i = sym_j
+      OR (CAST(sym_j AS INTEGER) = 1 AND CAST(sym_i AS INTEGER) % 7 = 3)""", "cov"))
+def r2_asked(spark, sf):
+    """Some entries of the matrix: its tiles are made, only those asked for are expanded."""
+    names, cov = day_risk(spark, sf)
+    i = F.col("symbol").cast("int")
+    others = F.array(i, i + 1, F.when(i % 7 == 3, F.lit(1)))
+    asked = names.select(F.col("symbol").alias("sym_i"), F.explode(F.array_distinct(F.array_compact(others)).cast("array<string>")).alias("sym_j"))
+    return rounded(cov.asked(asked).select("sym_i", "sym_j", "cov"), 5, "cov")
 
 
 @query("q4_risk_names", sql(
     """SELECT dt, symbol, round(sigma, 6) AS sigma, round(scale, 6) AS scale FROM sized""", "sized"))
 def q4_names(spark, sf):
-    at = nth_last(roles.weeks(spark, sf))
-    names, _ = rk.liquidity_scaled_risk(risk_panel(weekly(spark, sf), roles.weeks(spark, sf)), at, RISK)
+    names, _ = day_risk(spark, sf)
     return rounded(names.select("dt", "symbol", "sigma", "scale"), 6, "sigma", "scale")
 
 
@@ -344,8 +359,8 @@ def q4_names(spark, sf):
     f"""SELECT dt, symbol, round(b1 * gap_z + b2 * mom5_z, 5) AS rhat_raw FROM zed JOIN ({_beta_sql("tgram1")}) b USING (dt)
     WHERE zed.t = {AT.format(p='')}""", "zed", "tgram1", "cal"))
 def q4_two(spark, sf):
-    at = nth_last(roles.weeks(spark, sf))
     z = sections(spark, sf)
+    at = day_before_last(z)
     beta = stage(fitted(z, STAGE1, TWO).where(F.col("t") == at), "beta")
     out = fc.raw_score(z.where(F.col("t") == at), beta, [f"{x}_z" for x in TWO])
     return rounded(out.select("dt", "symbol", "rhat_raw"), 5, "rhat_raw")
@@ -355,6 +370,6 @@ def q4_two(spark, sf):
     f"SELECT dt, symbol, round({_SCORE10}, 5) AS rhat_raw FROM zed JOIN beta10s USING (dt) WHERE zed.t = {AT.format(p='')}",
     "zed", "beta10s", "cal"))
 def q4(spark, sf):
-    at = nth_last(roles.weeks(spark, sf))
-    out = risk_and_stage1(features(spark, sf, keep=(*FORECAST_COLUMNS, "adv")), at, RISK)[2]
+    panel = stage(features(spark, sf, keep=(*FORECAST_COLUMNS, "adv")), "features")
+    out = risk_and_stage1(panel, day_before_last(panel), RISK)[2]
     return rounded(out, 5, "rhat_raw")

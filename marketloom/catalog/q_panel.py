@@ -22,7 +22,7 @@ from marketloom.operators import features as ft
 from marketloom.operators.crosssection import finite_mean, section_stats, winsorize, zscore
 from marketloom.operators.flow import last_dates, trading_dates, universe
 from marketloom.operators.forecast import target_return
-from marketloom.operators.panel import adjust_prices, bars, dense_panel, impute, join_inputs, mark_tradable
+from marketloom.operators.panel import adjust_prices, bars, calendar, dense_panel, impute, join_inputs, mark_tradable
 from marketloom.operators.risk import with_close_return
 from marketloom.plans.daily import META_COLUMNS, clean_panel, feature_panel
 from marketloom.session import by_date, stage
@@ -36,31 +36,32 @@ def weekly(spark, sf, symbol=None):
     return bars(roles.ticks(spark, sf, symbol), "week")
 
 
+def weekly_and_calendar(spark, sf, symbol=None):
+    """Staged bars and their weeks: the ticks are read once."""
+    staged = stage(weekly(spark, sf, symbol), "weekly")
+    return staged, calendar(staged)
+
+
 def cells(spark, sf):
     """Dense, not yet cleaned."""
-    joined = join_inputs(weekly(spark, sf), roles.flow(spark, sf), roles.metadata(spark, sf))
-    return dense_panel(joined, stage(roles.weeks(spark, sf), "calendar"), META_COLUMNS)
+    daily, cal = weekly_and_calendar(spark, sf)
+    joined = join_inputs(daily, roles.flow(spark, sf), roles.metadata(spark, sf))
+    return dense_panel(joined, stage(cal, "calendar"), META_COLUMNS)
 
 
 def panel(spark, sf):
-    return clean_panel(
-        weekly(spark, sf), roles.weeks(spark, sf), roles.flow(spark, sf), roles.metadata(spark, sf)
-    )
+    return clean_panel(*weekly_and_calendar(spark, sf), roles.flow(spark, sf), roles.metadata(spark, sf))
 
 
 def name_panel(spark, sf):
     """The same chain for the 64 names of the portfolios."""
-    return clean_panel(
-        weekly(spark, sf, roles.by_name()),
-        roles.weeks(spark, sf),
-        roles.flow(spark, sf, roles.customer_name()),
-    )
+    return clean_panel(*weekly_and_calendar(spark, sf, roles.by_name()), roles.flow(spark, sf, roles.customer_name()))
 
 
 def features(spark, sf, cfg=CleanConfig(), keep=None):
     """With ``keep``, metadata is left out, as no feature reads it."""
     meta = roles.metadata(spark, sf) if keep is None else None
-    return feature_panel(weekly(spark, sf), roles.weeks(spark, sf), roles.flow(spark, sf), meta, cfg, keep)
+    return feature_panel(*weekly_and_calendar(spark, sf), roles.flow(spark, sf), meta, cfg, keep)
 
 
 def _bars_query(unit):

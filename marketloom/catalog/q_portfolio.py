@@ -25,7 +25,7 @@ from marketloom.operators import risk as rk
 from marketloom.operators.crosssection import winsorize, zscore
 from marketloom.operators.features import build_features
 from marketloom.operators.neighbours import near_links
-from marketloom.operators.panel import nth_last
+from marketloom.operators.panel import day_before_last
 from marketloom.plans.decide import choose_candidates, execute
 from marketloom.session import stage
 
@@ -45,7 +45,7 @@ def name_features(spark, sf):
 
 def names_of(spark, sf, feat):
     """One row per name on the second-last date."""
-    at = nth_last(roles.weeks(spark, sf))
+    at = day_before_last(feat)
     today = zscore(feat.where(F.col("t") == at), ["mom5"], suffix="_z")
     i = F.col("symbol").cast("int")
     lot = F.when(i % 2 == 0, 10).otherwise(100)
@@ -179,7 +179,7 @@ view(
 
 
 def vectors(spark, sf, feat):
-    at = nth_last(roles.weeks(spark, sf))
+    at = day_before_last(feat)
     return stage(rk.risk_vectors(feat, at, RISK)[1], "vectors")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 FEATURES = (
@@ -65,9 +66,6 @@ class RiskConfig:
     std_window: int = 30
     c_liq: float = 0.6
     eps: float = 1e-8
-    # Ours: trailing days that enter the correlation. At the half-life above, the days before them
-    # hold 2 ** (-252 / 30) = 0.3 % of the weight of an endless history. Raise it with the half-life.
-    corr_window: int = 252
     # Ours: symbols per covariance block: a task holds two blocks of window x block values.
     block_size: int = 256
 
@@ -75,6 +73,12 @@ class RiskConfig:
         if self.sigma_source not in ("GK", "STD"):
             raise ValueError(f"sigma_source must be GK or STD, got {self.sigma_source!r}")
 
+    @property
+    def horizon(self) -> int:
+        """Days that enter the correlation: 60 half-lives. A day before them has a weight below 2 ** -60, less than
+        the rounding of a sum of doubles."""
+        return math.ceil(60 * self.corr_half_life)
+
 
 @dataclass(frozen=True)
 class StandardizeConfig:

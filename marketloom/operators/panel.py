@@ -83,6 +83,14 @@ def nth_last(cal: DataFrame, n: int = 2) -> int:
     return row.t
 
 
+def day_before_last(panel: DataFrame) -> int:
+    """L3 on a dense panel that is already staged: ordinal of the second-last date."""
+    last = panel.agg(F.max("t")).first()[0]
+    if last is None or last < 1:
+        raise ValueError("need at least 2 dates")
+    return last - 1
+
+
 def join_inputs(daily: DataFrame, flow: DataFrame | None, meta: DataFrame | None) -> DataFrame:
     """Prices with flow on (symbol, dt) and metadata on symbol.
 

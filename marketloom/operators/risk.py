@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marketloom.config import RiskConfig
 from marketloom.functions.blocks import block_count, block_of, paired
+from marketloom.functions.indexing import with_row_index
 from marketloom.functions.scalars import safe_div
 from marketloom.operators.features import rolling_std, with_changes
 from marketloom.operators.panel import in_time
@@ -35,13 +38,11 @@ def name_volatility(panel: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFra
 def return_directions(panel: DataFrame, at: int, cfg: RiskConfig = RiskConfig()) -> DataFrame:
     """A6, first half: per symbol the decayed, centred, unit-length vector of trailing returns.
 
-    The correlation of two symbols is the inner product of their vectors. A vector has at most
-    ``corr_window`` entries. A missing return counts as no move.
+    The correlation of two symbols is the inner product of their vectors. No return is left out that a double could
+    tell: see ``RiskConfig.horizon``. A missing return counts as no move.
     """
-    recent = panel.where(F.col("t").between(at - cfg.corr_window, at))
-    returns = with_close_return(recent.select("symbol", "t", "C")).where(
-        F.col("t") > max(at - cfg.corr_window, 0)
-    )
+    recent = panel.where(F.col("t").between(at - cfg.horizon, at))
+    returns = with_close_return(recent.select("symbol", "t", "C")).where(F.col("t") > max(at - cfg.horizon, 0))
     weight = F.pow(F.lit(2.0), (F.col("t") - at) / cfg.corr_half_life)
     r = F.coalesce("r", F.lit(0.0))
     listed = returns.groupBy("symbol").agg(
@@ -63,49 +64,80 @@ def return_directions(panel: DataFrame, at: int, cfg: RiskConfig = RiskConfig())
 def liquidity_scale(names: DataFrame, c_liq: float) -> DataFrame:
     """D16 (ours): names of one date; the least liquid one is scaled by 1 + c_liq.
 
-    The ranking sees one row per symbol of one date, whose square is about to be computed.
+    The percent rank comes from row numbers over a range sort: the first of equal values counts.
     """
-    rank = F.percent_rank().over(Window.partitionBy("dt").orderBy("adv"))
-    return names.withColumn("scale", 1.0 + c_liq * (1.0 - rank))
+    indexed = stage(with_row_index(names.select("adv"), "adv", name="i"), "liquidity")
+    first = indexed.groupBy("adv").agg(F.min("i").alias("i")).withColumnRenamed("adv", "_adv")
+    n = indexed.count()
+    rank = F.col("i") / F.lit(max(n - 1, 1)).cast("double")
+    same = F.col("adv").eqNullSafe(F.col("_adv"))
+    return names.join(first, same).withColumn("scale", 1.0 + c_liq * (1.0 - rank)).drop("_adv", "i")
+
+
+@dataclasses.dataclass
+class Tiles:
+    """R2 in blocks of symbols. ``frame`` has a row for each pair of blocks ``bi <= bj``: the symbols ``rows`` and ``columns``,
+    their sizes ``left`` and ``right``, and the correlations ``rho`` by rows. Covariance is rho x size x size, plus ``eps`` where
+    both symbols are the same."""
+
+    frame: DataFrame
+    n_blocks: int
+    eps: float
+
+    def _entries(self, tiles: DataFrame) -> DataFrame:
+        width = F.size("columns")
+        row, column = F.floor(F.col("k") / width).cast("int"), (F.col("k") % width).cast("int")
+        cells = tiles.select("bi", "bj", "rows", "columns", "left", "right", F.posexplode("rho").alias("k", "rho")).select(
+            "bi", "bj", F.col("rows")[row].alias("a"), F.col("columns")[column].alias("b"), "rho",
+            (F.col("left")[row] * F.col("right")[column]).alias("size"),
+        )
+        cells = cells.where((F.col("bi") < F.col("bj")) | (F.col("a") <= F.col("b")))
+        own = F.when(F.col("a") == F.col("b"), self.eps).otherwise(0.0)
+        return cells.select(
+            F.least("a", "b").alias("sym_i"), F.greatest("a", "b").alias("sym_j"), "rho", (F.col("rho") * F.col("size") + own).alias("cov")
+        )
 
+    def pairs(self) -> DataFrame:
+        """(sym_i, sym_j, rho, cov) of all pairs sym_i <= sym_j: a row for each, as a list of all pairs is."""
+        return self._entries(self.frame)
 
-def covariance(vectors: DataFrame, cfg: RiskConfig = RiskConfig()) -> DataFrame:
-    """(sym_i, sym_j, rho, cov) for sym_i <= sym_j from (symbol, u, size).
+    def asked(self, pairs: DataFrame) -> DataFrame:
+        """The entries of ``pairs`` (sym_i, sym_j, in any order); only their tiles are read, only they are expanded."""
+        x, y = block_of("sym_i", self.n_blocks), block_of("sym_j", self.n_blocks)
+        wanted = pairs.select("sym_i", "sym_j", F.least(x, y).alias("bi"), F.greatest(x, y).alias("bj"), (x > y).alias("swap"))
+        met = wanted.join(self.frame, ["bi", "bj"])
+        a = F.when(F.col("swap"), F.col("sym_j")).otherwise(F.col("sym_i"))
+        b = F.when(F.col("swap"), F.col("sym_i")).otherwise(F.col("sym_j"))
+        row, column = F.array_position("rows", a).cast("int") - 1, F.array_position("columns", b).cast("int") - 1
+        found = met.where((row >= 0) & (column >= 0))
+        rho = F.col("rho")[row * F.size("columns") + column]
+        own = F.when(F.col("sym_i") == F.col("sym_j"), self.eps).otherwise(0.0)
+        return found.select("sym_i", "sym_j", rho.alias("rho"), (rho * F.col("left")[row] * F.col("right")[column] + own).alias("cov"))
+
+
+def covariance(vectors: DataFrame, cfg: RiskConfig = RiskConfig()) -> Tiles:
+    """Correlations and sizes in tiles from (symbol, u, size).
 
     Blocks of symbols are multiplied as matrices; see ``functions.blocks``.
     """
     n_blocks = block_count(vectors, "symbol", cfg.block_size)
     placed = vectors.withColumn("b", block_of("symbol", n_blocks))
-    eps = cfg.eps
 
-    def multiply(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key
-        left, right = rows[rows["b"] == bi], rows[rows["b"] == bj]
+        left = rows[rows["b"] == bi].sort_values("symbol")
+        right = left if bi == bj else rows[rows["b"] == bj].sort_values("symbol")
         if left.empty or right.empty:
-            return pd.DataFrame({"sym_i": [], "sym_j": [], "rho": [], "cov": []})
+            return pd.DataFrame({c: [] for c in ("bi", "bj", "rows", "columns", "left", "right", "rho")})
         rho = np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T
-        size = left["size"].to_numpy()[:, None] * right["size"].to_numpy()[None, :]
-        a = np.repeat(left["symbol"].to_numpy(), len(right))
-        c = np.tile(right["symbol"].to_numpy(), len(left))
-        flat, sizes = rho.ravel(), size.ravel()
-        same = a == c
-        keep = (a <= c) if bi == bj else np.ones(len(a), dtype=bool)
-        flat = np.where(same, 1.0, flat)
-        swap = a > c
-        return pd.DataFrame(
-            {
-                "sym_i": np.where(swap, c, a)[keep],
-                "sym_j": np.where(swap, a, c)[keep],
-                "rho": flat[keep],
-                "cov": (flat * sizes + np.where(same, eps, 0.0))[keep],
-            }
-        )
+        if bi == bj:
+            np.fill_diagonal(rho, 1.0)
+        tile = [bi, bj, left["symbol"].to_list(), right["symbol"].to_list(), left["size"].to_numpy(), right["size"].to_numpy(), rho.ravel()]
+        return pd.DataFrame([tile], columns=["bi", "bj", "rows", "columns", "left", "right", "rho"])
 
-    return (
-        paired(placed, "b", n_blocks)
-        .groupBy("bi", "bj")
-        .applyInPandas(multiply, "sym_i string, sym_j string, rho double, cov double")
-    )
+    schema = "bi int, bj int, rows array<string>, columns array<string>, left array<double>, right array<double>, rho array<double>"
+    tiles = paired(placed, "b", n_blocks).groupBy("bi", "bj").applyInPandas(multiply, schema)
+    return Tiles(tiles, n_blocks, cfg.eps)
 
 
 def risk_vectors(
@@ -116,7 +148,7 @@ def risk_vectors(
 
     ``size`` is NULL without a volatility. Only the days of the windows are read.
     """
-    past = max(cfg.corr_window, cfg.std_window)
+    past = max(cfg.horizon, cfg.std_window)
     recent = features.where(F.col("t").between(at - past, at))
     today = name_volatility(recent, cfg).where(F.col("t") == at)
     names = liquidity_scale(today.select("dt", "symbol", "sigma", "adv"), cfg.c_liq)
@@ -128,10 +160,10 @@ def risk_vectors(
 
 def liquidity_scaled_risk(
     features: DataFrame, at: int, cfg: RiskConfig = RiskConfig()
-) -> tuple[DataFrame, DataFrame]:
-    """R2: names (symbol, sigma, adv, scale) and covariance pairs of the day with ordinal ``at``.
+) -> tuple[DataFrame, Tiles]:
+    """R2: names (symbol, sigma, adv, scale) and covariance tiles of the day with ordinal ``at``.
 
-    ``features`` has C, gk_vol and adv; only the days of the windows are read. The pairs are R2's own
+    ``features`` has C, gk_vol and adv; only the days of the windows are read. The tiles are R2's own
     output; portfolio risk takes the factors (``factor_risk``).
     """
     names, vectors = risk_vectors(features, at, cfg)
@@ -139,96 +171,59 @@ def liquidity_scaled_risk(
     return names, covariance(stage(known, "directions"), cfg)
 
 
-def factor_risk(weights: DataFrame, vectors: DataFrame, eps: float = RiskConfig().eps) -> DataFrame:
+def factor_risk(
+    weights: DataFrame, vectors: DataFrame, eps: float = RiskConfig().eps, name_block: int = 2048, candidate_block: int = 2048
+) -> DataFrame:
     """(cand_id, risk) from the factor form of ``risk_vectors``, without any pair of names.
 
     Variance = |sum w size u|^2 + sum w^2 (size^2 (1 - |u|^2) + eps). A name with weight but without
     a vector or a size makes the risk NULL: unknown is not riskless.
-    """
-    loading = F.col("w") * F.col("size")
-    squares = F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)
-    own = loading * loading * (1.0 - squares) + F.col("w") * F.col("w") * eps
-    unknown = (F.col("w") != 0) & (F.col("u").isNull() | F.col("size").isNull())
-    terms = F.concat(
-        F.array(F.struct(F.lit(-1).alias("k"), F.coalesce(own, F.lit(0.0)).alias("x"))),
-        F.coalesce(
-            F.transform("u", lambda x, i: F.struct(i.alias("k"), F.coalesce(loading * x, F.lit(0.0)).alias("x"))),
-            F.array().cast("array<struct<k:int,x:double>>"),
-        ),
-        F.when(unknown, F.array(F.struct(F.lit(-2).alias("k"), F.lit(1.0).alias("x")))).otherwise(
-            F.array().cast("array<struct<k:int,x:double>>")
-        ),
-    )
-    # One row per candidate, name and time entry, summed before the shuffle.
-    sums = (
-        weights.join(vectors, "symbol", "left")
-        .select("cand_id", F.inline(terms))
-        .groupBy("cand_id", "k")
-        .agg(F.sum("x").alias("x"))
-    )
-    variance = F.sum(F.when(F.col("k") >= 0, F.col("x") * F.col("x")).when(F.col("k") == -1, F.col("x")).otherwise(0.0))
-    known = F.count_if(F.col("k") == -2) == 0
-    return sums.groupBy("cand_id").agg(
-        F.when(known, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("risk")
-    )
-
 
-def portfolio_variance(
-    weights: DataFrame, cov: DataFrame, symbol_block: int = 128, candidate_block: int = 512
-) -> DataFrame:
-    """(cand_id, variance) = w' S w, S given as its upper triangle.
-
-    A join of the weights with themselves would make one row per candidate and pair. Here blocks
-    of candidates meet blocks of pairs and are multiplied; only one number per candidate and
-    block pair comes out.
+    A block of candidates and a block of names meet as matrices: one product gives the block's share of every
+    candidate's factor loadings, one row per candidate. The shares are added for each block of candidates, then squared.
     """
-    n_sym = block_count(weights, "symbol", symbol_block)
-    n_cand = block_count(weights, "cand_id", candidate_block)
-    cells = paired(
-        weights.select("cand_id", "symbol", "w").withColumns(
-            {"b": block_of("symbol", n_sym), "cb": block_of("cand_id", n_cand)}
-        ),
-        "b",
-        n_sym,
-    )
-    sides = cov.select("sym_i", "sym_j", "cov").withColumns(
-        {"_i": block_of("sym_i", n_sym), "_j": block_of("sym_j", n_sym)}
-    )
-    pairs = sides.select(
-        "sym_i",
-        "sym_j",
-        "cov",
-        F.least("_i", "_j").alias("bi"),
-        F.greatest("_i", "_j").alias("bj"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))).alias("cb"),
-    )
-
-    def form(w: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if w.empty or s.empty:
-            return pd.DataFrame({"cand_id": [], "part": []})
-        cands, ci = np.unique(w["cand_id"].to_numpy(), return_inverse=True)
-        syms = pd.Index(w["symbol"].unique())
-        m = np.zeros((len(cands), len(syms)))
-        np.add.at(m, (ci, syms.get_indexer(w["symbol"])), w["w"].to_numpy())
-        i, j = syms.get_indexer(s["sym_i"]), syms.get_indexer(s["sym_j"])
-        here = (i >= 0) & (j >= 0)
-        sigma = np.zeros((len(syms), len(syms)))
-        # An off-diagonal pair stands for both of its halves.
-        twice = np.where(i == j, 1.0, 2.0)
-        sigma[i[here], j[here]] = (twice * s["cov"].to_numpy())[here]
-        return pd.DataFrame({"cand_id": cands, "part": ((m @ sigma) * m).sum(axis=1)})
-
-    keys = ["cb", "bi", "bj"]
-    parts = (
-        cells.groupBy(*keys)
-        .cogroup(pairs.groupBy(*keys))
-        .applyInPandas(form, "cand_id bigint, part double")
-    )
-    return parts.groupBy("cand_id").agg(F.sum("part").alias("variance"))
-
-
-def portfolio_risk(weights: DataFrame, cov: DataFrame) -> DataFrame:
-    """(cand_id, risk)."""
-    return portfolio_variance(weights, cov).select(
-        "cand_id", F.sqrt(F.greatest("variance", F.lit(0.0))).alias("risk")
+    n = weights.agg(F.approx_count_distinct("cand_id").alias("c"), F.approx_count_distinct("symbol").alias("s")).first()
+    n_cand, n_name = max(1, math.ceil(n.c / candidate_block)), max(1, math.ceil(n.s / name_block))
+    kind = weights.schema["cand_id"].dataType.simpleString()
+    placed = weights.select("cand_id", "symbol", "w", block_of("cand_id", n_cand).alias("cb"), block_of("symbol", n_name).alias("b"))
+    factors = vectors.select(
+        "symbol", "u", "size", block_of("symbol", n_name).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_cand - 1))).alias("cb")
     )
+    empty = pd.DataFrame({"cand_id": [], "cb": [], "loading": [], "own": [], "unknown": []})
+
+    def multiply(key: tuple, held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if held.empty:
+            return empty
+        known = known[known["u"].notna() & known["size"].notna()]
+        held = held[held["w"].notna()]
+        cands, ci = np.unique(held["cand_id"].to_numpy(), return_inverse=True)
+        place = pd.Index(known["symbol"]).get_indexer(held["symbol"])
+        w, found = held["w"].to_numpy(dtype=float), place >= 0
+        unknown = np.bincount(ci, (~found) & (w != 0), len(cands)) > 0
+        if known.empty:
+            loading, own = [np.zeros(0)] * len(cands), np.zeros(len(cands))
+        else:
+            u, size = np.stack(known["u"].to_numpy()), known["size"].to_numpy(dtype=float)
+            m = np.zeros((len(cands), len(known)))
+            np.add.at(m, (ci[found], place[found]), w[found])
+            loading = list((m * size) @ u)
+            own = (m * m) @ (size**2 * (1.0 - (u * u).sum(axis=1)) + eps)
+        return pd.DataFrame({"cand_id": cands, "cb": int(key[0]), "loading": loading, "own": own, "unknown": unknown})
+
+    shares = (
+        placed.groupBy("cb", "b").cogroup(factors.groupBy("cb", "b"))
+        .applyInPandas(multiply, f"cand_id {kind}, cb int, loading array<double>, own double, unknown boolean")
+    )
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        cands, ci = np.unique(rows["cand_id"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(cands), max(len(x) for x in rows["loading"])))
+        for i, x in zip(ci, rows["loading"]):
+            total[i, : len(x)] += x
+        variance = (total * total).sum(axis=1) + np.bincount(ci, rows["own"], len(cands))
+        risk = np.sqrt(np.maximum(variance, 0.0))
+        risk[np.bincount(ci, rows["unknown"], len(cands)) > 0] = np.nan
+        return pd.DataFrame({"cand_id": cands, "risk": risk})
+
+    risks = shares.groupBy("cb").applyInPandas(add, f"cand_id {kind}, risk double")
+    return risks.select("cand_id", F.when(~F.isnan("risk"), F.col("risk")).alias("risk"))

@@ -12,7 +12,7 @@ from marketloom.functions.scalars import finite, garman_klass
 from marketloom.operators.crosssection import winsorize
 from marketloom.operators import forecast as fc
 from marketloom.operators.features import adv, build_features
-from marketloom.operators.risk import liquidity_scaled_risk
+from marketloom.operators.risk import Tiles, liquidity_scaled_risk
 from marketloom.operators.panel import clean, dense_panel, join_inputs
 from marketloom.session import stage
 
@@ -92,8 +92,8 @@ def forecast(
 
 def risk_and_stage1(
     features: DataFrame, at: int, risk: RiskConfig = RiskConfig(), train: TrainConfig = STAGE1
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Q4: names with volatility, covariance pairs, and the raw forecast of day ``at``.
+) -> tuple[DataFrame, Tiles, DataFrame]:
+    """Q4: names with volatility, covariance tiles, and the raw forecast of day ``at``.
 
     Only the days that day ``at`` looks back on are read.
     """

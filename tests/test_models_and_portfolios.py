@@ -98,13 +98,14 @@ def test_covariance_over_many_blocks(spark):
     df = stage(
         spark.createDataFrame(rows, "dt date, t int, symbol string, C double, gk_vol double, adv double"), "f"
     )
-    cfg = RiskConfig(corr_window=20, corr_half_life=5.0, block_size=7)
+    cfg = RiskConfig(corr_half_life=5.0, block_size=7)
     at = days - 2
     assert block_count(df, "symbol", 7) > 1
-    _, cov = rk.liquidity_scaled_risk(df, at, cfg)
-    got = cov.toPandas()
+    names, cov = rk.liquidity_scaled_risk(df, at, cfg)
+    assert cov.frame.count() == cov.n_blocks * (cov.n_blocks + 1) // 2
+    got = cov.pairs().toPandas()
     assert len(got) == n * (n + 1) // 2 and (got.sym_i <= got.sym_j).all()
-    r = (close[1:] / close[:-1] - 1)[at - 20 : at]
+    r = (close[1:] / close[:-1] - 1)[:at]
     w = 2.0 ** ((np.arange(len(r)) - (len(r) - 1)) / 5.0)
     dev = r - (w[:, None] * r).sum(0) / w.sum()
     c = (dev * w[:, None]).T @ dev
@@ -116,11 +117,20 @@ def test_covariance_over_many_blocks(spark):
     full = rho * np.outer(size, size) + 1e-8 * np.eye(n)
     i, j = got.sym_i.str[1:].astype(int), got.sym_j.str[1:].astype(int)
     assert got["cov"].to_numpy() == pytest.approx(full[i, j], abs=1e-12)
-    # Portfolio risk from the same pairs, cut into several blocks; some weights are absent.
+    asked = [("s03", "s11"), ("s11", "s03"), ("s05", "s05"), ("s39", "s00"), ("s00", "none")]
+    some = cov.asked(spark.createDataFrame(asked, "sym_i string, sym_j string")).collect()
+    assert {(r.sym_i, r.sym_j) for r in some} == set(asked[:4])
+    for r in some:
+        assert r["cov"] == pytest.approx(full[int(r.sym_i[1:]), int(r.sym_j[1:])], abs=1e-12)
+    # Portfolio risk from the factors, cut into several blocks; some weights are absent.
     weights = rng.random((33, n)) * (rng.random((33, n)) < 0.6)
     long = [(k, f"s{m:02d}", float(weights[k, m])) for k in range(33) for m in range(n) if weights[k, m]]
     wdf = stage(spark.createDataFrame(long, "cand_id bigint, symbol string, w double"), "w")
-    var = {r.cand_id: r.variance for r in rk.portfolio_variance(wdf, stage(cov, "c"), 9, 10).collect()}
+    _, vectors = rk.risk_vectors(df, at, cfg)
+    risk = rk.factor_risk(wdf, stage(vectors, "v"), name_block=9, candidate_block=10)
+    # The only rows made are the vectors, once for each block of candidates: none for each candidate, name and day.
+    assert risk._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    var = {r.cand_id: r.risk**2 for r in risk.collect()}
     exact = np.einsum("ki,ij,kj->k", weights, full, weights)
     assert [var[k] for k in range(33)] == pytest.approx(list(exact), rel=1e-9)
 
