@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.catalog import roles
-from marketloom.catalog.base import query, sql
+from marketloom.catalog.base import query, sql, view
 from marketloom.operators.panel import bars
 from marketloom.session import scratch_path
 from marketloom.sources.ticks import QUOTE_SCHEMA, stream_quotes, subscribed
 from marketloom.streaming import quotes as live
+from marketloom.streaming import stateful
 
 
 def quote_stream(spark, sf):
@@ -111,8 +112,97 @@ for _unit in ("day", "week"):
 
 @query("t3_stream_bars_month", sql(bars_sql("month"), "quotes"))
 def t3_month(spark, sf):
-    days = finished(spark, live.stream_bars(quote_stream(spark, sf), "day", None), ["dt", "symbol"])
-    return live.months_from_days(days)
+    """From the ticks; months stay open, as the newest ticks come first."""
+    return finished(spark, stateful.month_bars(quote_stream(spark, sf), None), ["dt", "symbol"]).drop("closed")
+
+
+# A moment of the feed's time.
+_THIRD = "(SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) * {k} // 3 FROM quotes)"
+# Spans of the feed in order: thirds of the time, then the ticks of a few symbols that were held back.
+_HELD = "CAST(symbol AS INTEGER) % 9 = 4"
+_LATENESS_DAYS = 2
+view(
+    "feed",
+    # A batch is judged by the watermark that its predecessor ran with: that of the first two spans for the last.
+    f"""SELECT *, {_HELD} AND ts < (SELECT max(ts) FROM quotes WHERE NOT ({_HELD}) AND epoch_us(ts) <= {_THIRD.format(k=2)})
+      - INTERVAL {_LATENESS_DAYS} DAY AS late FROM quotes""",
+    "quotes",
+)
+
+
+def ordered_feed(spark, sf):
+    """Quotes landed in order of time, in three batches, and a fourth with what was held back."""
+    path = scratch_path(spark, "ordered")
+    quotes = roles.quotes(spark, sf)
+    micros, held = F.unix_micros("ts"), F.expr(_HELD.replace("INTEGER", "INT"))
+    low, high = quotes.agg(F.min(micros), F.max(micros)).first()
+    first, second = low + (high - low) // 3, low + 2 * (high - low) // 3
+    spans = ((micros <= first) & ~held, (micros > first) & (micros <= second) & ~held, (micros > second) & ~held, held)
+    counts = []
+    for span in spans:
+        quotes.where(span).repartition(2).write.mode("append").parquet(path)
+        counts.append(len(spark.read.parquet(path).inputFiles()) - sum(counts))
+    if len(set(counts)) != 1:
+        raise ValueError(f"batches of unequal numbers of files: {counts}")
+    return stream_quotes(spark, path, QUOTE_SCHEMA, max_files=counts[0])
+
+
+def month_stream(spark, sf):
+    """The keyed table of month bars, and how many ticks came late."""
+    path, mark = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
+    changes = stateful.month_bars(ordered_feed(spark, sf), f"{_LATENESS_DAYS} days")
+    q = live.run_to_table(changes, path, mark, keys=["dt", "symbol"], compact_every=2)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return live.snapshot(spark, path, ["dt", "symbol"]), live.late_rows(q)
+
+
+@query("t3_watermarked_months", sql(
+    f"""SELECT *, dt + INTERVAL 1 MONTH <= (SELECT max(ts) FROM quotes) - INTERVAL {_LATENESS_DAYS} DAY AS closed
+      FROM ({bars_sql("month").replace("FROM quotes", "FROM feed WHERE NOT late")})""", "feed", "quotes"))
+def t3_watermarked(spark, sf):
+    """Months close when the watermark passes their end; ticks behind it do not count."""
+    return month_stream(spark, sf)[0]
+
+
+@query("t3_late_ticks", sql("SELECT count(*) AS late FROM feed WHERE late", "feed"))
+def t3_late(spark, sf):
+    _, late = month_stream(spark, sf)
+    return spark.range(1).select(F.lit(late).cast("long").alias("late"))
+
+
+# Every symbol is subscribed at the first third of the time; odd ones are dropped at the second.
+
+
+def control_stream(spark, sf):
+    path = scratch_path(spark, "controls")
+    quotes = roles.quotes(spark, sf)
+    micros = F.unix_micros("ts")
+    low, high = quotes.agg(F.min(micros), F.max(micros)).first()
+    names = quotes.select("exchange", "symbol").distinct()
+    at = lambda k: F.timestamp_micros(F.lit(low + (high - low) * k // 3))
+    on = names.select("*", at(1).alias("ts"), F.lit(True).alias("active"))
+    off = names.where("CAST(symbol AS INT) % 2 = 1").select("*", at(2).alias("ts"), F.lit(False).alias("active"))
+    on.unionByName(off).repartition(2).write.parquet(path)
+    return spark.readStream.schema("exchange string, symbol string, ts timestamp, active boolean").parquet(path)
+
+
+_SPAN = f"""epoch_us(ts) >= {_THIRD.format(k=1)} AND (CAST(symbol AS INTEGER) % 2 = 0 OR epoch_us(ts) < {_THIRD.format(k=2)})"""
+view("spanned", f"SELECT *, {_SPAN} AS counted FROM sided", "sided", "quotes")
+
+
+@query("t4_unsubscribed_midway", sql(
+    """SELECT exchange, symbol, CAST(coalesce(sum(qty) FILTER (counted), 0) AS BIGINT) AS "totalVolume",
+      CAST(coalesce(sum(qty) FILTER (counted AND side = 'OUT'), 0) AS BIGINT) AS "outsideVolume",
+      CAST(coalesce(sum(qty) FILTER (counted AND side = 'IN'), 0) AS BIGINT) AS "insideVolume",
+      arg_max(price, seq) FILTER (counted) AS "lastPrice", arg_max(ts, seq) FILTER (counted) AS "lastTime",
+      arg_max(bid, seq) FILTER (counted) AS "bestBid", arg_max(ask, seq) FILTER (counted) AS "bestAsk",
+      count(*) FILTER (counted) AS ticks, count(*) FILTER (NOT counted) AS ignored FROM spanned GROUP BY 1, 2""", "spanned"))
+def t4_midway(spark, sf):
+    """Subscriptions begin and end while the stream runs."""
+    out = stateful.subscribed_totals(quote_stream(spark, sf), control_stream(spark, sf))
+    return _plain_time(finished(spark, out, ["exchange", "symbol"]))
 
 
 @query("p19_trade_side", sql("SELECT seq, symbol, side FROM sided", "sided"))
