@@ -11,6 +11,7 @@ from marketloom.catalog.views import W, chg, div
 from marketloom.config import FEATURES, STAGE1, Config, RiskConfig, TrainConfig
 from marketloom.operators import forecast as fc
 from marketloom.operators import risk as rk
+from marketloom.operators.boosting import BoostConfig, boosted_trees
 from marketloom.operators.panel import day_before_last
 from marketloom.plans.daily import FORECAST_COLUMNS, fitted, forecast, risk_and_stage1, risk_panel
 from marketloom.session import stage
@@ -168,10 +169,64 @@ def m3(spark, sf):
     return out.select("dt", "n", "feature", (still <= near).alias("optimal"))
 
 
-@query("m4_boosted_trees")
+def boost_views(name, cfg):
+    """The same trees in SQL, a view for each level; leaves ``{name}`` (dt, symbol, rhat_raw)."""
+    bins = ", ".join(f"greatest(least(CAST(floor(({f}_z + 3.0) * {cfg.bins / 6!r}) AS INTEGER), {cfg.bins - 1}), 0)" for f in FEATURES)
+    last = f"(SELECT max(t) // {cfg.step} FROM zed)"
+    view(
+        f"{name}_rows0",
+        f"""SELECT fit, dt, symbol, pow(2.0, (t - (fit * {cfg.step} - 1)) / {cfg.half_life}) AS w, label AS r, false AS score, bins FROM (
+          SELECT *, unnest(range(t // {cfg.step} + 1, least((t + {cfg.window}) // {cfg.step}, {last}) + 1)) AS fit, [{bins}] AS bins FROM zed WHERE label IS NOT NULL)
+        UNION ALL SELECT t // {cfg.step} AS fit, dt, symbol, 0.0 AS w, 0.0 AS r, true AS score, [{bins}] AS bins FROM zed WHERE t >= {cfg.step}""",
+        "zed",
+    )
+    rows = f"{name}_rows0"
+    for tree in range(cfg.trees):
+        view(f"{name}_{tree}_0", f"SELECT *, 1 AS node FROM {rows}", rows)
+        for level in range(cfg.depth):
+            at = f"{name}_{tree}_{level}"
+            view(
+                f"{at}_split",
+                f"""SELECT fit, node, feature, bin FROM (SELECT *, row_number() OVER (PARTITION BY fit, node ORDER BY gain DESC, feature, bin) AS place FROM (
+                  SELECT fit, node, feature, bin, gl * gl / (hl + {cfg.lam}) + (g - gl) * (g - gl) / (h - hl + {cfg.lam}) - g * g / (h + {cfg.lam}) AS gain FROM (
+                    SELECT fit, node, feature, bin, sum(h) OVER l AS hl, sum(g) OVER l AS gl, sum(h) OVER a AS h, sum(g) OVER a AS g, max(bin) OVER a AS top FROM (
+                      SELECT fit, node, feature, bins[feature] AS bin, sum(w) AS h, sum(w * r) AS g FROM {at}, range(1, {len(FEATURES) + 1}) f(feature) WHERE NOT score GROUP BY ALL)
+                    WINDOW l AS (PARTITION BY fit, node, feature ORDER BY bin), a AS (PARTITION BY fit, node, feature))
+                  WHERE bin < top) WHERE gain > 1e-12) WHERE place = 1""",
+                at,
+            )
+            view(
+                f"{name}_{tree}_{level + 1}",
+                f"""SELECT r.* REPLACE (CASE WHEN s.bin IS NULL THEN r.node ELSE r.node * 2 + CASE WHEN r.bins[s.feature] > s.bin THEN 1 ELSE 0 END END AS node)
+                FROM {at} r LEFT JOIN {at}_split s ON s.fit = r.fit AND s.node = r.node""",
+                at, f"{at}_split",
+            )
+        grown = f"{name}_{tree}_{cfg.depth}"
+        rows = f"{name}_rows{tree + 1}"
+        view(
+            rows,
+            f"""SELECT x.* EXCLUDE (node) REPLACE (r - coalesce(v, 0.0) AS r) FROM {grown} x
+            LEFT JOIN (SELECT fit, node, {cfg.rate} * sum(w * r) / (sum(w) + {cfg.lam}) AS v FROM {grown} WHERE NOT score GROUP BY 1, 2) USING (fit, node)""",
+            grown,
+        )
+    view(name, f"SELECT dt, symbol, -r AS rhat_raw FROM {rows} WHERE score", rows)
+
+
+STUMP = BoostConfig(step=63, trees=1, depth=1, bins=16)
+TREES = BoostConfig(step=63, trees=2, depth=2, bins=16)
+boost_views("stump", STUMP)
+boost_views("trees", TREES)
+
+
+@query("m4_one_split", sql("SELECT dt, symbol, round(rhat_raw, 7) AS rhat_raw FROM stump", "stump"))
+def m4_stump(spark, sf):
+    return rounded(boosted_trees(sections(spark, sf), cfg=STUMP), 7, "rhat_raw")
+
+
+@query("m4_boosted_trees", sql("SELECT dt, symbol, round(rhat_raw, 7) AS rhat_raw FROM trees", "trees"))
 def m4(spark, sf):
-    z = sections(spark, sf)
-    return fc.boosted_trees(z, day_before_last(z))
+    """Two trees of two levels for each of the walk-forward's models, every date scored."""
+    return rounded(boosted_trees(sections(spark, sf), cfg=TREES), 7, "rhat_raw")
 
 
 view(

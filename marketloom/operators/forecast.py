@@ -241,34 +241,3 @@ def labelled_sections(
     labelled = with_changes(z, label=target_return(target, label_offset))
     out = stage(labelled.select(*kept, "label"), "sections")
     return winsorize(out, ["label"], winsorize_label) if winsorize_label > 0 else out
-
-
-def boosted_trees(
-    sections: DataFrame,
-    at: int,
-    window: int = 252,
-    seed: int = 12345,
-    half_life: float = 60.0,
-    trees: int = 10,
-    depth: int = 3,
-) -> DataFrame:
-    """M4: gradient-boosted trees on the days [at - window, at - 1], scored on day ``at``.
-
-    A day's rows weigh by its age, as in the linear fits. Number and depth of the trees are ours.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    xs = [f"{f}_z" for f in FEATURES]
-    assembler = VectorAssembler(inputCols=xs, outputCol="x")
-    train = sections.where(
-        F.col("t").between(at - window, at - 1) & F.col("label").isNotNull()
-    )
-    weight = F.pow(F.lit(2.0), (F.col("t") - (at - 1)) / half_life).alias("weight")
-    model = GBTRegressor(
-        featuresCol="x", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed
-    ).fit(assembler.transform(train.select("label", weight, *xs)))
-    today = assembler.transform(sections.where(F.col("t") == at))
-    return model.transform(today).select(
-        "dt", "symbol", F.col("prediction").alias("rhat_raw")
-    )
