@@ -22,7 +22,13 @@ TRAIN = TrainConfig()
 
 
 def sections(spark, sf):
-    return fc.labelled_sections(stage(features(spark, sf, keep=FORECAST_COLUMNS), "features"))
+    return fc.labelled_sections(stage(features(spark, sf, keep=FORECAST_COLUMNS), "features"), winsorize_label=0.01)
+
+
+@query("w14_winsorised_returns", sql("SELECT dt, symbol, round(label, 6) AS label FROM zed WHERE label IS NOT NULL", "zed"))
+def w14_returns(spark, sf):
+    """The returns that fits see, pulled to the first and last percent of their date."""
+    return rounded(sections(spark, sf).where("label IS NOT NULL").select("dt", "symbol", "label"), 6, "label")
 
 
 @query("m1_standardised_features", sql(

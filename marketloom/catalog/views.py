@@ -149,10 +149,16 @@ def _chain(p: str, symbol: str, flow_symbol: str, meta: bool) -> None:
         for f in FEATURES
     )
     view(
-        f"{p}zed",
+        f"{p}zraw",
         f"SELECT w.*, {zs}, {chg(f'lead(C) OVER {W}', 'C')} AS label FROM {p}wins w JOIN {p}stats USING (dt)",
         f"{p}wins", f"{p}stats",
     )
+    view(
+        f"{p}zed",
+        f"""SELECT z.* REPLACE (CASE WHEN label IS NOT NULL THEN greatest(least(label, hi), lo) END AS label) FROM {p}zraw z
+        JOIN (SELECT dt AS d, quantile_cont(label, 0.01) AS lo, quantile_cont(label, 0.99) AS hi FROM {p}zraw GROUP BY dt) ON d = dt""",
+        f"{p}zraw",
+    )
 
 
 _chain("", "CAST(l_suppkey AS VARCHAR)", "CAST(o_custkey // 15 AS VARCHAR)", meta=True)

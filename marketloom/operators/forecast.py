@@ -7,6 +7,7 @@ are fitted in one pass over the panel. Python sees P x P systems, never panel ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,7 +25,7 @@ from marketloom.config import (
 )
 from marketloom.functions.quantiles import exact_quantiles
 from marketloom.functions.scalars import safe_div
-from marketloom.operators.crosssection import winsorize, zscore
+from marketloom.operators.crosssection import zscore
 from marketloom.operators.features import Pair, with_changes
 from marketloom.operators.panel import in_time
 from marketloom.session import by_date, stage
@@ -75,19 +76,16 @@ def trailing_gram(gram: DataFrame, cfg: TrainConfig) -> DataFrame:
     """Decayed sums over the days [t - W, t - 1]; the newest of them has weight 1.
 
     Each sum of the gram array becomes its own window partition of one row per date. The weights
-    grow along a block of W days and start again with the next one, so they cannot overflow; a
-    window touches two blocks at most, told apart by parity.
+    grow along a block of days and start again with the next one, so they cannot overflow; a
+    window touches two blocks at most, told apart by parity. A block is as long as the window, but no longer than 400
+    half-lives: products older than that weigh less than 2 ** -400, and only the row count still sees them.
     """
-    if cfg.window / cfg.half_life > 400:
-        raise ValueError("window too long for its half-life")
-    w, hl = cfg.window, cfg.half_life
+    hl = cfg.half_life
+    w = min(cfg.window, max(1, math.ceil(400 * hl)))
     n_at = F.size("gram") - 1
     long = gram.select("dt", "t", n_at.alias("n_at"), F.posexplode("gram").alias("k", "v"))
     block = F.floor(F.col("t") / w)
-    # The row count is a plain sum.
-    grow = F.when(F.col("k") == F.col("n_at"), F.lit(1.0)).otherwise(
-        F.pow(F.lit(2.0), (F.col("t") - block * w) / hl)
-    )
+    grow = F.pow(F.lit(2.0), (F.col("t") - block * w) / hl)
     scaled = long.withColumns({"even": block % 2 == 0, "x": F.col("v") * grow})
     own = Window.partitionBy("k").orderBy("t").rangeBetween(-w, -1)
 
@@ -97,12 +95,13 @@ def trailing_gram(gram: DataFrame, cfg: TrainConfig) -> DataFrame:
     last = F.col("t") - 1
     newer = F.floor(last / w)
     sums = scaled.select(
-        "dt", "t", "k", "n_at", total(F.col("even")).alias("e"), total(~F.col("even")).alias("o")
-    )
+        "dt", "t", "k", "n_at", total(F.col("even")).alias("e"), total(~F.col("even")).alias("o"),
+        F.coalesce(F.sum("v").over(Window.partitionBy("k").orderBy("t").rangeBetween(-cfg.window, -1)), F.lit(0.0)).alias("rows"),
+    )
     new = F.when(newer % 2 == 0, F.col("e")).otherwise(F.col("o"))
     old = F.when(newer % 2 == 0, F.col("o")).otherwise(F.col("e"))
     decayed = (new + old * 2.0 ** (-w / hl)) * F.pow(F.lit(2.0), -(last - newer * w) / hl)
-    value = F.when(F.col("k") == F.col("n_at"), F.col("e") + F.col("o")).otherwise(decayed)
+    value = F.when(F.col("k") == F.col("n_at"), F.col("rows")).otherwise(decayed)
     packed = (
         sums.groupBy("dt", "t")
         .agg(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))).alias("g"))
@@ -240,4 +239,10 @@ def labelled_sections(
     kept = ["dt", "t", "symbol", "bias", *[f"{f}_z" for f in FEATURES]]
     labelled = with_changes(z, label=target_return(target, label_offset))
     out = stage(labelled.select(*kept, "label"), "sections")
-    return winsorize(out, ["label"], winsorize_label) if winsorize_label > 0 else out
+    if winsorize_label <= 0:
+        return out
+    # The limits, a row for each date, are written; every reader of the sections joins them in.
+    limits = stage(exact_quantiles(out, ["dt"], ["label"], [winsorize_label, 1.0 - winsorize_label], by_date), "label_limits")
+    low, high = F.col("label_q")[0], F.col("label_q")[1]
+    pulled = F.when(F.col("label").isNotNull(), F.greatest(F.least(F.col("label"), high), low))
+    return out.join(by_date(limits), "dt", "left").withColumn("label", pulled).drop("label_q")

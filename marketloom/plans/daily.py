@@ -80,9 +80,12 @@ def forecast(
     xs: Sequence[str] = FEATURES,
     scores: DataFrame | None = None,
 ) -> DataFrame:
-    """Q5 for all dates at once: raw, calibrated and enhanced forecast per (dt, symbol)."""
+    """Q5 for all dates at once: raw, calibrated and enhanced forecast per (dt, symbol).
+
+    Fits see returns winsorised as the features are (W14).
+    """
     wanted = [c for c in ("dt", "t", "symbol", *FORECAST_COLUMNS, *FEATURES) if c in features.columns]
-    sections = fc.labelled_sections(stage(features.select(*wanted), "features"), target, cfg.standardize)
+    sections = fc.labelled_sections(stage(features.select(*wanted), "features"), target, cfg.standardize, winsorize_label=cfg.clean.winsorize_p)
     beta = stage(fitted(sections, cfg.train, xs), "beta")
     raw = fc.raw_score(sections, beta, [f"{x}_z" for x in xs])
     if scores is not None:
@@ -91,7 +94,7 @@ def forecast(
 
 
 def risk_and_stage1(
-    features: DataFrame, at: int, risk: RiskConfig = RiskConfig(), train: TrainConfig = STAGE1
+    features: DataFrame, at: int, risk: RiskConfig = RiskConfig(), train: TrainConfig = STAGE1, clean_cfg: CleanConfig = CleanConfig()
 ) -> tuple[DataFrame, Tiles, DataFrame]:
     """Q4: names with volatility, covariance tiles, and the raw forecast of day ``at``.
 
@@ -100,7 +103,7 @@ def risk_and_stage1(
     features = stage(features, "features")
     names, cov = liquidity_scaled_risk(features, at, risk)
     recent = features.where(F.col("t").between(at - train.window, at))
-    sections = fc.labelled_sections(recent, "CC")
+    sections = fc.labelled_sections(recent, "CC", winsorize_label=clean_cfg.winsorize_p)
     beta = fitted(sections, train).where(F.col("t") == at)
     today = sections.where(F.col("t") == at)
     raw = fc.raw_score(today, stage(beta, "beta"), [f"{x}_z" for x in FEATURES])

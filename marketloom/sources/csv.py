@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import finite, header_key, or_unknown, to_date, trim_all
+from marketloom.session import stage
 
+_MOST_HEADERS = 10_000
 _FIELD = '((?:[^",]++|"[^"]*+")*+),'
 
 DAILY_REQUIRED = ("date", "symbol", "o", "h", "l", "c", "v", "val")
@@ -32,23 +34,14 @@ def split_csv_line(line: Column) -> Column:
     return F.transform(fields, lambda f: F.replace(f, F.lit('"'), F.lit("")))
 
 
-def _first_lines(spark: SparkSession, path: str) -> dict[str, str]:
-    """First line of every file of a folder, read through the cluster's file systems."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    lines = {}
-    for uri in spark.read.text(path).inputFiles():
-        file = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
-        stream = file.getFileSystem(conf).open(file)
-        try:
-            codec = codecs.getCodec(file)
-            plain = stream if codec is None else codec.createInputStream(stream)
-            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
-        finally:
-            stream.close()
-        if line is not None:
-            lines[file.toString()] = line.removeprefix("\ufeff")
-    return lines
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line``: the first line of every file that has one. Tasks find them where a file begins."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.struct(F.monotonically_increasing_id().alias("i"), "value").alias("first"),
+    )
+    firsts = lines.where("start = 0").groupBy("file").agg(F.min("first").alias("first"))
+    return firsts.select("file", F.regexp_replace("first.value", "^\ufeff|\r$", "").alias("line"))
 
 
 def _toggled(line: str) -> list[str]:
@@ -64,30 +57,16 @@ def _toggled(line: str) -> list[str]:
     return cells
 
 
-def _read_alike(spark: SparkSession, files: list[str], names: list[str], toggle_quotes: bool) -> DataFrame:
-    """Files that share one header."""
+def _cells(spark: SparkSession, path: str, width: int, toggle_quotes: bool) -> DataFrame:
+    """Rows of all files as text cells ``_0, _1, ...`` with their ``file``; header rows only with ``toggle_quotes``."""
+    file = F.col("_metadata.file_path").alias("file")
     if toggle_quotes:
-        lines = spark.read.text(files).select(F.regexp_replace("value", "\r$", "").alias("value"))
-        cells = lines.where(trim_all(F.col("value")) != "").select(
-            split_csv_line(F.col("value")).alias("c")
-        )
-        raw = cells.select(*[F.get("c", F.lit(i)).alias(f"_{i}") for i in range(len(names))])
-    else:
-        schema = ", ".join(f"_{i} string" for i in range(len(names)))
-        reader = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
-        raw = reader.csv(files)
-    keys: dict[str, int] = {}
-    for i, name in enumerate(names):
-        keys.setdefault(header_key(name), i)
-    out = raw.select(*[F.col(f"_{i}").alias(k) for k, i in keys.items() if k])
-    if toggle_quotes:
-        # The header comes back as a row of its own names in every file.
-        same = F.lit(True)
-        for k, i in keys.items():
-            if k:
-                same = same & F.col(f"`{k}`").eqNullSafe(F.lit(names[i]))
-        out = out.where(~same)
-    return out
+        lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"), file)
+        cut = lines.where(trim_all(F.col("value")) != "").select("file", "value", split_csv_line(F.col("value")).alias("c"))
+        return cut.select("file", "value", *[F.get("c", F.lit(i)).alias(f"_{i}") for i in range(width)])
+    schema = ", ".join(f"_{i} string" for i in range(width))
+    reader = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"')
+    return reader.csv(path).select(*[f"_{i}" for i in range(width)], file)
 
 
 def read_named_csv(spark: SparkSession, path: str, toggle_quotes: bool = False) -> DataFrame:
@@ -96,18 +75,39 @@ def read_named_csv(spark: SparkSession, path: str, toggle_quotes: bool = False)
     Every file goes by its own header, so column order and columns may differ between the files of a
     folder; a column that a file lacks is NULL there. ``toggle_quotes`` reads lines and applies S4,
     for files whose quotes open inside a field.
+
+    The headers are found by tasks; the driver sees the distinct ones, 10,000 at most, and no list of files. A folder with
+    one header is read as it is; else each row takes its file's header from a join.
     """
-    alike: dict[tuple[str, ...], list[str]] = {}
-    for file, line in _first_lines(spark, path).items():
-        names = _toggled(line) if toggle_quotes else next(csv.reader([line]), [])
-        alike.setdefault(tuple(names), []).append(file)
-    if not alike:
+    found = stage(header_lines(spark, path), "headers")
+    lines = sorted(r.line for r in found.select("line").distinct().limit(_MOST_HEADERS + 1).collect())
+    if not lines:
         raise ValueError(f"no header in {path}")
-    parts = [_read_alike(spark, files, list(names), toggle_quotes) for names, files in alike.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    if len(lines) > _MOST_HEADERS:
+        raise ValueError(f"more than {_MOST_HEADERS} different headers in {path}")
+    places: dict[str, dict[str, int]] = {}
+    for line in lines:
+        at: dict[str, int] = {}
+        for i, name in enumerate(_toggled(line) if toggle_quotes else next(csv.reader([line]), [])):
+            at.setdefault(header_key(name), i)
+        places[line] = {k: i for k, i in at.items() if k}
+    width = max((i + 1 for at in places.values() for i in at.values()), default=1)
+    rows = _cells(spark, path, width, toggle_quotes)
+    rows = rows.withColumn("line", F.lit(lines[0])) if len(lines) == 1 else rows.join(found, "file")
+    if toggle_quotes:  # the header comes back as a row in every file
+        rows = rows.where("value <> line")
+    names = dict.fromkeys(k for at in places.values() for k in at)
+
+    def column(name: str) -> Column:
+        by_place: dict[int, list[str]] = {}
+        for line, at in places.items():
+            if name in at:
+                by_place.setdefault(at[name], []).append(line)
+        if len(by_place) == 1 and len(lines) == 1:
+            return F.col(f"_{next(iter(by_place))}")
+        return F.coalesce(*[F.when(F.col("line").isin(of), F.col(f"_{i}")) for i, of in by_place.items()])
+
+    return rows.select(*[column(name).alias(name) for name in names])
 
 
 def _number(name: str) -> Column:

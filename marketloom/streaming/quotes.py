@@ -1,8 +1,8 @@
 """Live quotes and bars.
 
 Every micro-batch writes the changed keys under its batch number and replaces them if the batch
-is run again, so a restart leaves no trace. Every few batches these are merged into one row per key
-and the merged folders removed. A snapshot takes the newest state of each key.
+is run again, so a restart leaves no trace. Every few batches these are merged into one row per key;
+what a merge replaces goes with the next one. Only folders written to the end count. A snapshot takes the newest state of each key.
 State per key is one row. With a watermark, bars leave the state once it has passed them, and what
 comes later is lost; ``late_rows`` counts that.
 """
@@ -85,14 +85,14 @@ def months_from_days(days: DataFrame) -> DataFrame:
 
 
 def _folders(spark: SparkSession, path: str) -> tuple[dict[int, str], dict[int, str]]:
-    """Folders of batches and of finished merges, by batch number."""
+    """Folders of batches and of merges that are written to the end, by batch number."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     found: dict[str, dict[int, str]] = {"batch": {}, "merged": {}}
     for status in fs.listStatus(hadoop) if fs.exists(hadoop) else ():
         kind, _, number = status.getPath().getName().partition("=")
         done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if kind in found and (kind == "batch" or fs.exists(done)):
+        if kind in found and fs.exists(done):
             found[kind][int(number)] = status.getPath().toString()
     return found["batch"], found["merged"]
 
@@ -104,14 +104,16 @@ def _remove(spark: SparkSession, folders: Iterable[str]) -> None:
 
 
 def compact(spark: SparkSession, path: str, keys: Sequence[str], number: int) -> None:
-    """K8: merge all up to batch ``number`` into ``path/merged=<number>``, then remove what went in.
+    """K8: merge all up to batch ``number`` into ``path/merged=<number>``, then remove what went into the merge before.
 
-    A merge counts once it is complete; run again after a failure, it changes nothing.
+    A merge counts once it is complete; run again after a failure, it changes nothing. The merge before and the batches
+    since then stay until the next one, so that a reader who has planned on them can finish.
     """
     batches, merged = _folders(spark, path)
     if number not in merged:
         snapshot(spark, path, keys).write.mode("overwrite").parquet(f"{path}/merged={number}")
-    old = [f for n, f in batches.items() if n <= number] + [f for n, f in merged.items() if n < number]
+    last = max((n for n in merged if n < number), default=-1)
+    old = [f for n, f in batches.items() if n <= last] + [f for n, f in merged.items() if n < last]
     _remove(spark, old)
 
 
@@ -125,8 +127,8 @@ def run_to_table(
 ) -> StreamingQuery:
     """K8: start the stream; changed keys go to ``path/batch=<n>``.
 
-    With ``keys``, every ``compact_every`` batches are merged, so the table keeps one row per key and
-    at most so many batches.
+    With ``keys``, every ``compact_every`` batches are merged, so the table keeps two merges of one row per key and
+    at most twice so many batches.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
