@@ -12,8 +12,9 @@ from marketloom.config import FEATURES, STAGE1, Config, RiskConfig, TrainConfig
 from marketloom.operators import forecast as fc
 from marketloom.operators import risk as rk
 from marketloom.operators.boosting import BoostConfig, boosted_trees
-from marketloom.operators.panel import day_before_last
-from marketloom.plans.daily import FORECAST_COLUMNS, fitted, forecast, risk_and_stage1, risk_panel
+from marketloom.operators.panel import calendar, day_before_last
+from marketloom.plans.daily import FORECAST_COLUMNS, clean_panel, fitted, forecast, risk_and_stage1, risk_panel
+from marketloom.plans.next_day import initial_state, predict_day
 from marketloom.session import stage
 
 TWO = ("gap", "mom5")
@@ -320,6 +321,24 @@ def q5(spark, sf):
     return rounded(rounded(out, 5, "rhat_raw"), 7, "rhat_cal", "rhat_enh")
 
 
+@query("q5_next_days_from_state", sql(
+    _ENHANCED.format("cal10 WHERE t >= (SELECT max(t) - 1 FROM cal)"), "cal10", "cal"))
+def q5_next(spark, sf):
+    """The last two dates, each from the state after the one before and its own rows."""
+    daily, cal = weekly_and_calendar(spark, sf)
+    cal = stage(cal, "calendar")
+    first, second = [r.dt for r in cal.where("t >= n_dates - 2").orderBy("t").collect()]
+    flow = stage(roles.flow(spark, sf), "flow")
+    history = daily.where(F.col("dt") < first)
+    panel = stage(clean_panel(history, calendar(history), flow.where(F.col("dt") < first)), "panel")
+    state, out = initial_state(panel), []
+    for dt in (first, second):
+        rows = daily.where(F.col("dt") == dt).join(flow.where(F.col("dt") == dt), ["symbol", "dt"], "full")
+        made, state = predict_day(rows, state)
+        out.append(stage(made, "forecast"))
+    return rounded(rounded(out[0].unionByName(out[1]), 5, "rhat_raw"), 7, "rhat_cal", "rhat_enh")
+
+
 # ---- risk -------------------------------------------------------------------------------
 
 AT = "(SELECT max(t) - 1 FROM {p}cal)"
