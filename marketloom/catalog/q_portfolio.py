@@ -491,8 +491,9 @@ def sparse(spark, sf):
     return roles.candidates(spark, sf).where(_LISTED.replace("INTEGER", "INT"))
 
 
-def lots(spark, sf, names):
-    return pf.to_lots(sparse(spark, sf), names.select("symbol", "price", "lot", "n0"), EXEC)
+def lots(spark, sf, names, weights=None):
+    weights = sparse(spark, sf) if weights is None else weights
+    return pf.to_lots(weights, names.select("symbol", "price", "lot", "n0"), EXEC)
 
 
 @query("r7_whole_lots", sql(
@@ -537,6 +538,23 @@ def r8(spark, sf):
     return _order_output(out)
 
 
+lots_view("clots", "cands")
+
+
+@query("r7_complete_lots", sql(
+    "SELECT cand_id, symbol, CAST(lots AS BIGINT) AS lots, CAST(odd AS BIGINT) AS odd, round(w + 1.23457e-12, 9) AS w FROM clots", "clots"))
+def r7_complete(spark, sf):
+    """Candidates that list every name."""
+    out = lots(spark, sf, limited(spark, sf), roles.candidates(spark, sf))
+    return out.select("cand_id", "symbol", "lots", "odd", F.round(F.col("w") + 1.23457e-12, 9).alias("w"))
+
+
+@query("r8_complete_orders", sql(_ORDERS.format(lots="clots"), "clots"))
+def r8_complete(spark, sf):
+    names = limited(spark, sf)
+    return _order_output(pf.orders(lots(spark, sf, names, roles.candidates(spark, sf)), names, COST))
+
+
 view(
     "sparserisk",
     """SELECT a.cand_id, sqrt(sum(CASE WHEN sym_i = sym_j THEN 1 ELSE 2 END * a.w * b.w * cov)) AS risk
