@@ -163,17 +163,15 @@ def scan(
             .join(hits, ["k1", "k2"], "left")
             .select(_ROW, F.size(words_of(F.col("__text"))).alias("n_words"), F.coalesce("hits", empty).alias("hits"))
         )
-    merged = F.aggregate(
-        F.array_sort(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["stop"].alias("stop")))),
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        _merge,
-    )
-    merged_once = found.select(
-        _ROW,
+    # A generator of one row keeps what is above it from being worked out again for each mention.
+    bounds = F.struct(
         F.col("n_words").cast("long").alias("n_words"),
-        merged.alias("spans"),
+        F.array_sort(F.transform("hits", lambda h: h["start"])).alias("starts"),
+        F.array_sort(F.transform("hits", lambda h: h["stop"])).alias("stops"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"),
     )
+    sorted_once = found.select(_ROW, F.inline(F.array(bounds)))
+    merged_once = sorted_once.select(_ROW, "n_words", _merged().alias("spans"), "items")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"] + 1)
     # A generator of one row: a later filter on n_hit stays above it. Pushed below, it would repeat the
     # whole scan inside its condition.
@@ -181,13 +179,15 @@ def scan(
     return merged_once.select(_ROW, once)
 
 
-def _merge(done: Column, span: Column) -> Column:
-    """Adds a span to sorted disjoint ones; overlapping ones grow together."""
-    last = F.element_at(done, -1)
-    joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], span["stop"]).alias("stop"))
-    apart = (F.size(done) == 0) | (span["start"] > F.try_element_at(done, F.lit(-1))["stop"])
-    head = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-    return F.when(apart, F.concat(done, F.array(span))).otherwise(F.concat(head, F.array(joined)))
+def _merged() -> Column:
+    """Disjoint spans from the sorted ``starts`` and ``stops`` of overlapping ones, in linear time.
+
+    With both sorted on their own, a span of the union begins where a start lies behind the stop of the place before, and
+    ends where a stop lies before the start of the next place.
+    """
+    begins = F.filter("starts", lambda x, i: (i == 0) | (x > F.get("stops", i - 1)))
+    ends = F.filter("stops", lambda x, i: (i == F.size("stops") - 1) | (F.get("starts", i + 1) > x))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
 
 
 def is_contaminated(ratio_inverse: int = 20) -> Column:
@@ -204,16 +204,17 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", *
     """Documents with every hit word taken out of the text, whatever its share."""
     original = F.col(f"{_ROW}.`{text}`")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    between = F.split(original, word)
-    kept = F.transform(
-        F.regexp_extract_all(original, F.lit(word), F.lit(0)),
-        lambda w, i: F.when(F.exists("spans", lambda s: (i + 1).between(s["start"], s["stop"])), F.lit("")).otherwise(
-            F.concat(w, F.element_at(between, i + 2))
-        ),
+    scanned = scan(docs, benchmark, text=text, **options).select(_ROW, "n_words", "spans", (F.col("n_hit") > 0).alias("hit"))
+    # One flag for each word: gaps and spans in turn.
+    gap = lambda s, k: s["start"] - 1 - F.when(k > 0, F.get("spans", k - 1)["stop"]).otherwise(0)
+    flags = F.transform(
+        "spans", lambda s, k: F.concat(F.array_repeat(F.lit(False), gap(s, k)), F.array_repeat(F.lit(True), s["stop"] - s["start"] + 1))
     )
-    cut = F.concat(F.element_at(between, 1), F.array_join(kept, ""))
-    scanned = scan(docs, benchmark, text=text, **options)
-    new = F.when(F.col("n_hit") > 0, cut).otherwise(original)
-    return scanned.select(
-        *[(new if c == text else F.col(f"{_ROW}.`{c}`")).alias(c) for c in docs.columns]
+    some = F.when(F.col("hit"), original)
+    parts = F.struct(
+        F.regexp_extract_all(some, F.lit(word), F.lit(0)).alias("words"), F.split(some, word).alias("between"), F.flatten(flags).alias("gone"), "hit"
     )
+    once = scanned.select(_ROW, F.inline(F.array(parts)))
+    kept = F.transform("words", lambda w, i: F.when(F.get("gone", i), "").otherwise(F.concat(w, F.get("between", i + 1))))
+    new = F.when(F.col("hit"), F.concat(F.get("between", F.lit(0)), F.array_join(kept, ""))).otherwise(original)
+    return once.select(*[(new if c == text else F.col(f"{_ROW}.`{c}`")).alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -110,8 +111,8 @@ def test_decontamination_in_place_and_joined(spark, max_broadcast):
         r[0]: (r.n_words, r.n_hit, list(r["items"]))
         for r in decontaminate.scan(docs, bench, n=4, max_broadcast=max_broadcast).select("__row.doc_id", "n_words", "n_hit", "items").collect()
     }
-    known = [x for x in items if x[0] is not None]
-    assert got == {i: plain_hits(t, known, 4) for i, t in enumerate(texts)}
+    expected = {i: plain_hits(t, items, 4) for i, t in enumerate(texts)}  # items without an id hit, but are not listed
+    assert got == {i: (n, hit, [x for x in found if x != "None"]) for i, (n, hit, found) in expected.items()}
 
 
 def test_decontamination_edges(spark):
@@ -127,6 +128,36 @@ def test_decontamination_edges(spark):
     assert decontaminate.remove_documents(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 5])
+def test_spans_of_mixed_lengths(spark, n):
+    """Overlapping, touching and nested windows; the removed words are those of the plain version."""
+    rng = random.Random(n)
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 3, 7, 9])))) for i in range(8)]
+    texts = [", ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 5, 40, 300]))) for _ in range(60)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = decontaminate.scan(docs, bench, n=n).collect()
+    for r in found:
+        assert (r.n_words, r.n_hit, r["items"]) == plain_hits(r["__row"].text, items, n)
+        spans = [(s.start, s.stop) for s in r.spans]
+        assert all(a <= b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+    cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench, n=n).collect()}
+    for r in found:
+        words = r["__row"].text.split(", ") if r["__row"].text else []
+        left = [w for i, w in enumerate(words, 1) if not any(s.start <= i <= s.stop for s in r.spans)]
+        assert re.findall("[a-z]", cut[r["__row"].doc_id]) == left
+
+
+def test_spans_in_linear_time(spark):
+    """A quarter of a million words with a hit every other one."""
+    text = " ".join(f"x{i} bad word" for i in range(80_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "bad word")], "item_id bigint, text string")
+    r = decontaminate.scan(docs, bench).first()
+    assert (r.n_words, r.n_hit, len(r.spans)) == (240_000, 160_000, 80_000)
+    assert len(decontaminate.remove_spans(docs, bench).first().text.split()) == 80_000
+
+
 def plain_print(text, k=3):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
