@@ -13,19 +13,20 @@ __all__ = ["ORACLES", "QUERIES"]
 
 
 _OP1_SQL = r"""
-WITH lines AS (
-  SELECT d.doc_id, u.pos, u.line,
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT d.r, d.doc_id, u.pos, u.line,
          translate(trim(u.line, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM documents d, (
-    SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line,
-           generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS pos
+  FROM numbered d, (
+    SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS pos
   ) u
 ), frequent AS (
-  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM frequent)) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (SELECT key FROM frequent)), '')) AS kept_sha256
-FROM lines GROUP BY doc_id
+FROM lines GROUP BY r, doc_id
 """
 
 
@@ -69,7 +70,7 @@ WITH item_words AS (
   SELECT doc_id, count(DISTINCT k) AS n_hit FROM hits, unnest(generate_series(i, i + n - 1)) AS s(k) GROUP BY doc_id
 ), hit_items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
@@ -229,8 +230,8 @@ def damaged(rows: DataFrame) -> DataFrame:
     )
 
 
-_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), c -> [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-    (c, b) -> xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))"""
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda c: [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))"""
 
 
 def _edit(cost: str, letter: str, after: str, line: str | None) -> str:
@@ -248,7 +249,7 @@ def _options(state: int) -> str:
         out.append(f"CASE WHEN fault < 2 AND initial = 's' THEN {_edit('5 * fault', 'K', 'f1', 'line')} END")
     renamed = f"'{wanted}:' || text"
     out.append(f"CASE WHEN fault < 2 THEN {_edit('1 + 5 * fault', 'R', to, renamed)} END")
-    return f"list_sort(list_filter([{', '.join(out)}], x -> x IS NOT NULL))[1] AS b{state}"
+    return f"list_sort(list_filter([{', '.join(out)}], lambda x: x IS NOT NULL))[1] AS b{state}"
 
 
 def _inserting(state: int, to: str) -> str:
