@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from marketloom.catalog import QUERIES  # noqa: E402
-from marketloom.session import local_session  # noqa: E402
+from marketloom.session import drop_stages, local_session  # noqa: E402
 
 HEADLINE = (
     "a14_bars_week",
@@ -45,6 +45,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
+            drop_stages(spark)
         took[name] = round(statistics.median(times[1:]), 3)
         print(name, took[name], file=sys.stderr, flush=True)
     print(

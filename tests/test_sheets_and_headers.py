@@ -79,3 +79,14 @@ def test_windows_far_longer_than_their_half_life(spark, window, half_life):
         if n > 0:
             w = 2.0 ** ((span - (t - 1)) / half_life)
             assert got[t] == pytest.approx([*(w[:, None] * v[span, :2]).sum(axis=0), n], rel=1e-9, abs=1e-12)
+
+
+def test_stage_tables_are_dropped_together(spark, tmp_path, monkeypatch):
+    from marketloom import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    table = session.stage(spark.range(5), "five")
+    assert table.count() == 5 and len(list(tmp_path.glob("marketloom/*/five-*"))) == 1
+    session.drop_stages(spark)
+    assert not list(tmp_path.glob("marketloom/*"))
+    assert session.stage(spark.range(3), "three").count() == 3
