@@ -135,7 +135,7 @@ def ordered_feed(spark, sf):
     path = scratch_path(spark, "ordered")
     quotes = roles.quotes(spark, sf)
     micros, held = F.unix_micros("ts"), F.expr(_HELD.replace("INTEGER", "INT"))
-    low, high = quotes.agg(F.min(micros), F.max(micros)).first()
+    low, high = (x or 0 for x in quotes.agg(F.min(micros), F.max(micros)).first())
     first, second = low + (high - low) // 3, low + 2 * (high - low) // 3
     spans = ((micros <= first) & ~held, (micros > first) & (micros <= second) & ~held, (micros > second) & ~held, held)
     counts = []
@@ -179,7 +179,7 @@ def control_stream(spark, sf):
     path = scratch_path(spark, "controls")
     quotes = roles.quotes(spark, sf)
     micros = F.unix_micros("ts")
-    low, high = quotes.agg(F.min(micros), F.max(micros)).first()
+    low, high = (x or 0 for x in quotes.agg(F.min(micros), F.max(micros)).first())
     names = quotes.select("exchange", "symbol").distinct()
     at = lambda k: F.timestamp_micros(F.lit(low + (high - low) * k // 3))
     on = names.select("*", at(1).alias("ts"), F.lit(True).alias("active"))
