@@ -1,7 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
 import corpus_pipeline
-from marketloom.llm import decontaminate
+from marketloom.llm import decontaminate, simhash
 from marketloom.session import stage
 from tests.llm.test_minhash import plain_roots
 from tests.llm.test_text_operators import plain_hits, plain_lines
@@ -93,3 +93,20 @@ def test_odd_rows_through_the_chain(spark, sf, tmp_path):
         if name == "mixing":
             assert sorted(key(r.doc_id) for r in now) == sorted(key(r.doc_id) for r in was)
         before = after
+
+
+def test_fingerprints_link_where_shingle_sets_do_not(spark, tmp_path):
+    """Repeats change a set of shingles, but not the fingerprint: one text ten times over is the text twenty times over."""
+    line = "one two three four five six seven eight nine ten"
+    a, b = " ".join([line] * 40), " ".join([line] * 41)
+    other = " ".join(f"w{i}" for i in range(60))
+    near = " ".join([*(f"w{i}" for i in range(60)), "w60"])
+    apart = " ".join(f"x{i}" for i in range(60))
+    odd = " ".join(f"{line} {k}" for k in ("p", "q", "r", "s")) + f" {a}"
+    rows = [(1, a), (2, b), (3, other), (4, near), (5, apart), (6, odd), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    prints = {d: simhash.fingerprint(t) for d, t in rows}
+    jaccard = plain_roots([(d, t or "") for d, t in rows])
+    assert (prints[1] ^ prints[6]).bit_count() <= 2 and jaccard[1] != jaccard[6]
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 5, 7]
