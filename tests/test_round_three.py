@@ -1,13 +1,16 @@
-"""Covariance tiles of any block size and asked entries on few products."""
+"""Covariance tiles of any block size, asked entries, tasks of the panel, and forecasts that sort it once."""
 
 import datetime
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from marketloom.config import RiskConfig
+from marketloom.operators import forecast as fc
+from marketloom.operators import panel as pn
 from marketloom.operators import risk as rk
+from marketloom.plans.daily import clean_panel, feature_panel, forecast
+from marketloom.session import stage
 
 
 def day(t):
@@ -37,3 +40,43 @@ def test_vectors_travel_by_span_not_by_block(spark, monkeypatch):
     assert got["cov"].to_numpy() == pytest.approx(full[i, j], abs=1e-12)
     for r in some:
         assert r["cov"] == pytest.approx(full[int(r.sym_i[1:]), int(r.sym_j[1:])], abs=1e-12)
+
+
+def prices(spark, symbols=9, days=40):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(symbols):
+        c = 50.0
+        for t in range(days):
+            o, c = c * (1 + rng.normal() * 0.01), c * (1 + rng.normal() * 0.02)
+            v = float(rng.integers(1, 500))
+            if rng.random() < 0.9:
+                rows.append((day(t), f"s{i}", o, max(o, c) * 1.01, min(o, c) * 0.99, c, v, v * c, v / 3, v / 2, int(rng.integers(-90, 90))))
+    df = spark.createDataFrame(rows, "dt date, symbol string, O double, H double, L double, C double, V double, VAL double, inside_vol double, outside_vol double, netbuy bigint")
+    return stage(df.drop("netbuy"), "prices"), stage(df.select("dt", "symbol", "netbuy"), "flow")
+
+
+def test_tasks_of_the_panel_follow_its_cells(spark, monkeypatch):
+    daily, flow = prices(spark)
+    plain = {(r.symbol, r.t): tuple(r) for r in clean_panel(daily, pn.calendar(daily), flow).collect()}
+    monkeypatch.setattr(pn, "CELLS_PER_TASK", 20, raising=False)
+    panel = clean_panel(daily, pn.calendar(daily), flow)
+    assert panel.rdd.getNumPartitions() == 18  # 9 symbols x 40 dates, 20 cells each
+    assert {(r.symbol, r.t): tuple(r) for r in panel.collect()} == plain
+
+
+def test_returns_of_the_panel_are_those_sorted_for(spark):
+    daily, flow = prices(spark)
+    cal = pn.calendar(daily)
+    with_label = feature_panel(daily, cal, flow, keep=("O", "C"), target="CC")
+    without = stage(feature_panel(daily, cal, flow, keep=("O", "C")), "plain")
+    key = lambda df: sorted(map(tuple, df.select("dt", "symbol", "label", "gap_z", "bias").collect()), key=str)
+    a, b = (fc.labelled_sections(x, winsorize_label=0.01) for x in (with_label, without))
+    assert key(a) == key(b) and a.where("label IS NOT NULL").count() == 9 * 39
+    lean, full = forecast(with_label, keep=()), forecast(without)
+    assert lean.columns == ["dt", "t", "symbol", "rhat_raw", "rhat_cal", "rhat_enh"]
+    rows = lambda df: {(r.dt, r.symbol): (r.rhat_raw, r.rhat_cal, r.rhat_enh) for r in df.collect()}
+    x, y = rows(lean), rows(full)
+    assert x.keys() == y.keys() and x
+    for k in x:
+        assert x[k] == pytest.approx(y[k], rel=1e-9, abs=1e-12, nan_ok=True)
