@@ -4,25 +4,31 @@ Equal portfolios are one class. A class carries a sketch: its names fall into 16
 summed with signs. The l1 distance of two sketches never exceeds that of the portfolios, nor does the difference of any
 signed sum of the groups, a projection. The three projections with the widest spread place the classes in a grid.
 
-Many near copies would still pair up in a cell. So the first class of a cell gathers those within a quarter of the radius
-into a ball, a few times over. Members of a ball are links of each other without being paired. Two balls whose farthest
+Many near copies would pair up in any cell. So the first class of a cell of the grid gathers those within a quarter of the
+radius into a ball, a few times over. Members of a ball are links of each other without being paired. Two balls whose farthest
 members must be within the radius are linked as a whole; two that cannot reach each other are not linked; only what lies
 between is compared member by member, first by the distances to the balls' centres, then by sketch, then by weights.
+
+Balls meet in cells that get smaller as there are more of them: each cell is cut in two at the median of one more projection,
+until about ``LEAF`` balls are left in one. A ball close to a cut also goes to the other side. So the work grows with the
+balls times the sides they go to, not with their square.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import functools
-import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.session import stage
 
-GROUPS, PROJECTIONS, DIMENSIONS = 16, 8, 3
+GROUPS, PROJECTIONS, DIMENSIONS = 16, 16, 3
 BALL_ROUNDS = 3
+# Balls in a cell where they meet, and cells that a ball goes to, both on average.
+LEAF, MOST_CELLS = 32, 64
 _HAIR = 1 + 1e-9
 
 
@@ -81,7 +87,8 @@ def _projections() -> list[Column]:
 
 
 def _sketch_distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x)
+    """Written out: a lambda over the arrays would not be compiled."""
+    return functools.reduce(lambda x, y: x + y, [F.abs(F.col(a)[k] - F.col(b)[k]) for k in range(GROUPS)])
 
 
 def distances(pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -104,11 +111,17 @@ def _gathered(placed: DataFrame, weights: DataFrame, reach: float) -> DataFrame:
     """``class_id, ball, to_centre``: classes near the first of their cell, the others again, at last alone."""
     balls, rest = None, placed
     for _ in range(BALL_ROUNDS):
-        crowded = rest.groupBy("cell").agg(F.min("class_id").alias("ball"), F.count("*").alias("n")).where("n > 1")
-        near = stage(rest.join(crowded, "cell").select("class_id", "ball"), "ball_candidates")
+        first = F.min(F.struct("class_id", "s"))
+        crowded = rest.groupBy("cell").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1")
+        met = rest.join(crowded.select("cell", F.col("f.class_id").alias("ball"), F.col("f.s").alias("sb")), "cell")
+        near = stage(met.where(_sketch_distance("s", "sb") <= reach * _HAIR).select("class_id", "ball"), "ball_candidates")
         if near.isEmpty():
             break
-        apart = distances(near.where("class_id <> ball").select(F.col("ball").alias("a"), F.col("class_id").alias("b")), weights)
+        others = near.where("class_id <> ball")
+        asked = others.select(F.explode(F.array("class_id", "ball")).alias("cand_id")).distinct()
+        apart = distances(
+            others.select(F.col("ball").alias("a"), F.col("class_id").alias("b")), weights.join(asked, "cand_id", "left_semi")
+        )
         inside = apart.where(F.col("l1") <= reach).select(F.col("b").alias("class_id"), F.col("a").alias("ball"), F.col("l1").alias("to_centre"))
         centres = near.where("class_id = ball").select("class_id", "ball", F.lit(0.0).alias("to_centre"))
         new = stage(inside.unionByName(centres), "balls")
@@ -118,6 +131,47 @@ def _gathered(placed: DataFrame, weights: DataFrame, reach: float) -> DataFrame:
     return alone if balls is None else balls.unionByName(alone)
 
 
+def _cuts(centres: DataFrame, radius: float) -> list[tuple[int, float]]:
+    """Projections and their medians to cut at, those that fewest balls are close to first: as many as leave ``LEAF`` balls in
+    a cell, but no more than let a ball go to ``MOST_CELLS`` cells on average."""
+    wanted = [F.percentile_approx(F.col("p")[j], 0.5, 1000).alias(f"m{j}") for j in range(PROJECTIONS)]
+    found = centres.agg(F.count("*").alias("n"), F.max("extent").alias("extent"), *wanted).first()
+    most = min(PROJECTIONS, max(0, math.ceil(math.log2(max(found.n, 1) / LEAF))))
+    if not most:
+        return []
+    close = {j: _close(j, found[f"m{j}"], radius, found.extent) for j in range(PROJECTIONS)}
+    share = centres.agg(*[F.avg(close[j].cast("int")).alias(f"c{j}") for j in range(PROJECTIONS)]).first()
+    best = [j for j in sorted(range(PROJECTIONS), key=lambda j: share[j]) if share[j] < 0.95][:most]
+    sides = [functools.reduce(lambda a, b: a * b, [F.when(close[j], 2.0).otherwise(1.0) for j in best[: k + 1]]) for k in range(len(best))]
+    cells = centres.agg(*[F.avg(c) for c in sides]).first() if sides else []
+    return [(j, found[f"m{j}"]) for j, c in zip(best, cells) if c <= MOST_CELLS]
+
+
+def _close(j: int, cut: float, radius: float, widest: float) -> Column:
+    """Whether a ball may be within reach of one on the other side of a cut; ``widest`` is the largest extent of all."""
+    return F.abs(F.col("p")[j] - F.lit(cut)) <= (F.lit(radius + widest) + F.col("extent")) * _HAIR
+
+
+def _cells(centres: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """``a, ra, sa, own, cell``: balls in their own cell and in later ones that they reach into; ``b, rb, sb, cell``: all balls at
+    home. Two balls within reach of each other meet once, or both ways round in one cell."""
+    cuts = _cuts(centres, radius)
+    widest = centres.agg(F.coalesce(F.max("extent"), F.lit(0.0))).first()[0]
+    over = [F.when(F.col("p")[j] > F.lit(cut), 1 << i).otherwise(0) for i, (j, cut) in enumerate(cuts)]
+    own = functools.reduce(lambda a, b: a + b, over, F.lit(0))
+    home = centres.withColumn("own", own)
+    right = home.select(F.col("ball").alias("b"), F.col("extent").alias("rb"), F.col("s").alias("sb"), F.col("own").alias("cell"))
+    reached = F.array(F.col("own"))
+    if cuts:
+        sides = F.array_compact(F.array(*[F.when(_close(j, cut, radius, widest), 1 << i) for i, (j, cut) in enumerate(cuts)]))
+        both = lambda cells, bit: F.concat(cells, F.transform(cells, lambda c: c.bitwiseXOR(bit)))
+        reached = F.filter(F.aggregate(sides, reached, both), lambda c: c >= F.col("own"))
+    left = home.select(
+        F.col("ball").alias("a"), F.col("extent").alias("ra"), F.col("s").alias("sa"), "own", F.explode(reached).alias("cell")
+    )
+    return left, right
+
+
 def near_links(weights: DataFrame, radius: float) -> Links:
     """All links of candidates ``cand_id, symbol, w`` within the l1 radius. Stage ``weights``: it is read often.
 
@@ -132,29 +186,25 @@ def near_links(weights: DataFrame, radius: float) -> Links:
     held = stage(weights.join(classes.select(F.col("class_id").alias("cand_id")), "cand_id", "left_semi"), "class_weights")
 
     projections = _projections()
-    spread = classes.agg(*[F.coalesce(F.stddev_pop(p), F.lit(0.0)).alias(f"p{j}") for j, p in enumerate(projections)]).first()
+    projected = stage(classes.select("class_id", "copies", "s", F.array(*projections).alias("p")), "projected")
+    p = F.col("p")
+    spread = projected.agg(*[F.coalesce(F.stddev_pop(p[j]), F.lit(0.0)).alias(f"p{j}") for j in range(PROJECTIONS)]).first()
     widest = sorted(range(PROJECTIONS), key=lambda j: -spread[j])[:DIMENSIONS]
     reach = radius / 4
     width = max(radius + 2 * reach, 1e-12) * _HAIR
-    cell = F.array(*[F.floor(projections[j] / width) for j in widest])
-    placed = stage(classes.select("class_id", "copies", "s", cell.alias("cell")), "placed")
+    cell = F.array(*[F.floor(p[j] / width) for j in widest])
+    placed = projected.withColumn("cell", cell)
     balls = stage(
-        _gathered(placed.select("class_id", "cell"), held, reach).join(placed.select("class_id", "copies", "s"), "class_id"), "balls"
+        _gathered(placed.select("class_id", "cell", "s"), held, reach).join(placed.select("class_id", "copies", "s"), "class_id"), "balls"
     )
     extents = balls.groupBy("ball").agg(F.max("to_centre").alias("extent"))
     centres = stage(
-        extents.join(placed.select(F.col("class_id").alias("ball"), "s", "cell"), "ball"), "centres"
+        extents.join(placed.select(F.col("class_id").alias("ball"), "s", "p"), "ball"), "centres"
     )
-    # Each pair of cells once: offsets from zero on in dictionary order.
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=DIMENSIONS) if s >= (0,) * DIMENSIONS]
-    around = F.array(*[F.array(*[F.col("cell")[k] + F.lit(d) for k, d in enumerate(s)]) for s in steps])
-    left = centres.select(
-        F.col("ball").alias("a"), F.col("extent").alias("ra"), F.col("s").alias("sa"), F.col("cell").alias("own"),
-        F.explode(around).alias("cell"),
-    )
-    right = centres.select(F.col("ball").alias("b"), F.col("extent").alias("rb"), F.col("s").alias("sb"), "cell")
-    met = left.join(right, "cell").where((F.col("own") != F.col("cell")) | (F.col("a") < F.col("b")))
+    left, right = _cells(centres, radius)
     limit = (F.lit(radius) + F.col("ra") + F.col("rb")) * _HAIR
+    # Each pair once: from the ball of the lower cell to the home of the other.
+    met = left.join(right, "cell").where((F.col("own") != F.col("cell")) | (F.col("a") < F.col("b")))
     met = stage(met.where(_sketch_distance("sa", "sb") <= limit).select("a", "b", "ra", "rb"), "ball_pairs")
     apart = stage(met.join(distances(met, held), ["a", "b"]).where(F.col("l1") <= limit), "ball_distances")
     all_near = F.col("l1") + F.col("ra") + F.col("rb") <= radius

@@ -81,3 +81,28 @@ def test_greedy_with_empty_portfolios(spark):
         got = dedup.greedy_keep(scored, weights, 0.01, 4, batch).orderBy("place").collect()
         assert [r.cand_id for r in got] == [1, 2]
     assert dedup.greedy_keep(scored.limit(0), weights, 0.01).count() == 0
+
+
+@pytest.mark.parametrize("cells", [0.9, 2, 64])
+def test_scattered_balls_meet_few_others(spark, monkeypatch, cells):
+    """Balls are cut into ever smaller cells: what meets is a small part of all pairs, and no link is lost at a cut."""
+    rng = np.random.default_rng(8)
+    base = rng.dirichlet(np.ones(24), 240)
+    x = np.concatenate([base, base[:120] + rng.uniform(-1, 1, (120, 24)) * 9e-4])
+    met = []
+    cells_of = neighbours._cells
+
+    def counted_cells(centres, radius):
+        left, right = cells_of(centres, radius)
+        met.append((centres.count(), left.join(right, "cell").where("own <> cell OR a < b").count(), left.count()))
+        return left, right
+
+    monkeypatch.setattr(neighbours, "LEAF", 4)
+    monkeypatch.setattr(neighbours, "MOST_CELLS", cells)
+    monkeypatch.setattr(neighbours, "_cells", counted_cells)
+    got = counted(neighbours.near_links(frame(spark, long_rows(x)), 0.02))
+    assert got == plain_counts(x, 0.02) and sum(v[2] for v in got.values()) > 100
+    [(n, pairs, copies)] = met
+    assert pairs <= n * (n - 1) / 2 and copies <= cells * n * 1.01 + n
+    if cells == 64:
+        assert pairs < n * n / 20
