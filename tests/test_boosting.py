@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 
+from marketloom.operators import boosting
 from marketloom.operators.boosting import BoostConfig, boosted_trees
 from marketloom.session import stage
 
@@ -69,3 +70,19 @@ def test_walk_forward_equals_plain_trees(spark):
     assert max(abs(got[k] - expected[k]) for k in got) < 1e-9
     assert np.corrcoef([got[r[0], r[1]] for r in rows if r[0] >= 7 and r[2] is not None], [r[2] for r in rows if r[0] >= 7 and r[2] is not None])[0, 1] > 0.5
     assert boosted_trees(df.limit(0), ("a", "b", "c"), cfg).count() == 0
+
+
+def test_a_row_is_kept_once_whatever_its_models(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    day = dt.date(2024, 1, 1)
+    table = [(day + dt.timedelta(days=t), t, f"s{i}", float(rng.normal()), float(rng.normal()), float(rng.normal())) for t in range(40) for i in range(15)]
+    df = stage(spark.createDataFrame(table, "dt date, t int, symbol string, label double, a double, b double"), "z")
+    cfg, written = BoostConfig(window=30, half_life=9.0, step=5, trees=2, depth=2, bins=4), []
+    monkeypatch.setattr(boosting, "stage", lambda d, name: written.append(stage(d, name)) or written[-1])
+    assert boosted_trees(df, ("a", "b"), cfg).count() == 35 * 15
+    assert max(w.count() for w in written) == len(table)
+    # Sums that are handed on early are the same sums.
+    few = {(r.dt, r.symbol): r.rhat_raw for r in boosted_trees(df, ("a", "b"), cfg).collect()}
+    monkeypatch.setattr(boosting, "_MOST_SUMS", 1)
+    for r in boosted_trees(df, ("a", "b"), cfg).collect():
+        assert abs(r.rhat_raw - few[r.dt, r.symbol]) < 1e-9
