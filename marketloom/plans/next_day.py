@@ -64,24 +64,32 @@ def _label(target: str, last: dict[str, Column]) -> Column:
     return change(now, before)
 
 
-def initial_state(panel: DataFrame, cfg: Config = Config(), target: str = "CC") -> State:
-    """From the whole history: ``panel`` is clean and dense (``plans.daily.clean_panel``), staged."""
+def initial_state(panel: DataFrame, cfg: Config = Config(), target: str = "CC", top: int | None = None) -> State:
+    """From the whole history: ``panel`` is clean and dense (``plans.daily.clean_panel``). Without ``top``, the ordinal of its last
+    day, the panel is read for it; stage it then. Else it is read and sorted once, and only the days a state looks back on are written.
+    """
     _supported(cfg)
-    features = stage(build_features(panel, cfg.clean, keep=("O", "C")), "features")
-    top = features.agg(F.max(F.struct("t", "dt")).alias("m")).first().m
-    pulled = winsorize(features, FEATURES, cfg.clean.winsorize_p) if cfg.clean.winsorize_p > 0 else features
-    sections = fc.labelled_sections(stage(pulled, "features"), target, cfg.standardize, winsorize_label=cfg.clean.winsorize_p)
-    recent = sections.where(F.col("t") >= top.t - cfg.train.window)
-    grams = fc.daily_gram(recent.where(F.col("t") < top.t), Z)
-    closes = panel.where(F.col("t") > top.t - CLOSES).groupBy("symbol").agg(
+    if top is None:
+        top = panel.agg(F.max("t")).first()[0]
+    window = cfg.train.window
+    label = {fc.label_name(target): fc.target_return(target)}
+    features = build_features(panel, cfg.clean, PANEL_FIELDS, label, min(top - window, top - CLOSES + 1))
+    today = features.where(F.col("t") == top)
+    recent = features.where(F.col("t") >= top - window).select("dt", "t", "symbol", *FEATURES, *label)
+    pulled = winsorize(recent, FEATURES, cfg.clean.winsorize_p) if cfg.clean.winsorize_p > 0 else recent
+    sections = fc.labelled_sections(pulled, target, cfg.standardize, winsorize_label=cfg.clean.winsorize_p)
+    grams = fc.daily_gram(sections.where(F.col("t") < top), Z)
+    closes = features.where(F.col("t") > top - CLOSES).groupBy("symbol").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("t", "C"))), lambda x: x["C"]).alias("closes")
     )
-    last = panel.where(F.col("t") == top.t).select("symbol", F.struct(*[F.col(c).cast("double").alias(c) for c in PANEL_FIELDS]).alias("last"))
     # The mean of the flow goes on from its own value, not from the winsorised one.
-    flow = features.where(F.col("t") == top.t).select("symbol", F.col("broker_strength").alias("flow"))
-    z = sections.where(F.col("t") == top.t).select("symbol", F.array(*Z).alias("z"))
-    names = last.join(closes, "symbol").join(flow, "symbol").join(z, "symbol")
-    return State(top.dt, top.t, stage(names, "state_names"), stage(grams, "state_grams"))
+    last = today.select(
+        "symbol", F.struct(*[F.col(c).cast("double").alias(c) for c in PANEL_FIELDS]).alias("last"), F.col("broker_strength").alias("flow")
+    )
+    z = sections.where(F.col("t") == top).select("symbol", F.array(*Z).alias("z"))
+    names = last.join(closes, "symbol").join(z, "symbol").select("symbol", "last", "closes", "flow", "z")
+    dt = today.select("dt").first().dt
+    return State(dt, top, stage(names, "state_names"), stage(grams, "state_grams"))
 
 
 def predict_day(day: DataFrame, state: State, cfg: Config = Config(), target: str = "CC") -> tuple[DataFrame, State]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.config import Config, TrainConfig
+from marketloom.operators import features
 from marketloom.operators.panel import calendar
 from marketloom.plans.daily import clean_panel, feature_panel, forecast
 from marketloom.plans.next_day import State, initial_state, predict_day
@@ -60,3 +61,26 @@ def test_three_days_from_state(spark, tmp_path, target):
         assert got[k] == pytest.approx(v, rel=1e-9, abs=1e-12)
     with pytest.raises(ValueError):
         predict_day(daily, state, cfg, target)
+
+
+def test_first_state_reads_its_panel_once(spark, monkeypatch):
+    """The days it looks back on are written once; a panel that is not staged gives the same state."""
+    bars, flow = history()
+    daily = stage(spark.createDataFrame(bars, SCHEMA), "daily")
+    flows = stage(spark.createDataFrame(flow, "dt date, symbol string, netbuy bigint"), "flow")
+    cfg = Config(train=TrainConfig(window=12, half_life=6.0))
+    panel = clean_panel(daily, calendar(daily), flows, cfg=cfg.clean)
+    plain = initial_state(stage(panel, "panel"), cfg)
+    written = []
+    monkeypatch.setattr(features, "stage", lambda d, name: written.append(stage(d, name)) or written[-1])
+    state = initial_state(panel, cfg, top=33)
+    assert [w.count() for w in written] == [20 * 9, 20]  # the twenty last days of nine names, and their totals
+    assert (state.dt, state.t) == (plain.dt, plain.t) == (D0 + dt.timedelta(days=33), 33)
+    for a, b in ((state.names, plain.names), (state.grams, plain.grams)):
+        x, y = (sorted(map(str, df.collect())) for df in (a, b))
+        assert x and len(x) == len(y)
+    assert sorted(r.t for r in state.grams.collect()) == list(range(21, 33))
+    names = {r.symbol: r for r in plain.names.collect()}
+    for r in state.names.collect():
+        assert r.closes == names[r.symbol].closes and r["last"] == names[r.symbol]["last"] and len(r.closes) == 20
+        assert r.z == pytest.approx(names[r.symbol].z, abs=1e-9)
