@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from marketloom.session import stage
 
-GROUPS, PROJECTIONS, DIMENSIONS = 16, 16, 3
+GROUPS, PROJECTIONS = 16, 16
+# The grid takes the widest so many of the first projections.
+DIMENSIONS, GRID = 3, 8
 BALL_ROUNDS = 3
 # Balls in a cell where they meet, and cells that a ball goes to, both on average.
 LEAF, MOST_CELLS = 32, 64
@@ -111,17 +113,11 @@ def _gathered(placed: DataFrame, weights: DataFrame, reach: float) -> DataFrame:
     """``class_id, ball, to_centre``: classes near the first of their cell, the others again, at last alone."""
     balls, rest = None, placed
     for _ in range(BALL_ROUNDS):
-        first = F.min(F.struct("class_id", "s"))
-        crowded = rest.groupBy("cell").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1")
-        met = rest.join(crowded.select("cell", F.col("f.class_id").alias("ball"), F.col("f.s").alias("sb")), "cell")
-        near = stage(met.where(_sketch_distance("s", "sb") <= reach * _HAIR).select("class_id", "ball"), "ball_candidates")
+        crowded = rest.groupBy("cell").agg(F.min("class_id").alias("ball"), F.count("*").alias("n")).where("n > 1")
+        near = stage(rest.join(crowded, "cell").select("class_id", "ball"), "ball_candidates")
         if near.isEmpty():
             break
-        others = near.where("class_id <> ball")
-        asked = others.select(F.explode(F.array("class_id", "ball")).alias("cand_id")).distinct()
-        apart = distances(
-            others.select(F.col("ball").alias("a"), F.col("class_id").alias("b")), weights.join(asked, "cand_id", "left_semi")
-        )
+        apart = distances(near.where("class_id <> ball").select(F.col("ball").alias("a"), F.col("class_id").alias("b")), weights)
         inside = apart.where(F.col("l1") <= reach).select(F.col("b").alias("class_id"), F.col("a").alias("ball"), F.col("l1").alias("to_centre"))
         centres = near.where("class_id = ball").select("class_id", "ball", F.lit(0.0).alias("to_centre"))
         new = stage(inside.unionByName(centres), "balls")
@@ -188,14 +184,14 @@ def near_links(weights: DataFrame, radius: float) -> Links:
     projections = _projections()
     projected = stage(classes.select("class_id", "copies", "s", F.array(*projections).alias("p")), "projected")
     p = F.col("p")
-    spread = projected.agg(*[F.coalesce(F.stddev_pop(p[j]), F.lit(0.0)).alias(f"p{j}") for j in range(PROJECTIONS)]).first()
-    widest = sorted(range(PROJECTIONS), key=lambda j: -spread[j])[:DIMENSIONS]
+    spread = projected.agg(*[F.coalesce(F.stddev_pop(p[j]), F.lit(0.0)).alias(f"p{j}") for j in range(GRID)]).first()
+    widest = sorted(range(GRID), key=lambda j: -spread[j])[:DIMENSIONS]
     reach = radius / 4
     width = max(radius + 2 * reach, 1e-12) * _HAIR
     cell = F.array(*[F.floor(p[j] / width) for j in widest])
     placed = projected.withColumn("cell", cell)
     balls = stage(
-        _gathered(placed.select("class_id", "cell", "s"), held, reach).join(placed.select("class_id", "copies", "s"), "class_id"), "balls"
+        _gathered(placed.select("class_id", "cell"), held, reach).join(placed.select("class_id", "copies", "s"), "class_id"), "balls"
     )
     extents = balls.groupBy("ball").agg(F.max("to_centre").alias("extent"))
     centres = stage(
