@@ -102,3 +102,46 @@ def test_a_crowd_of_edited_copies(spark):
     linked = [d for d in expected if expected[d] != d]
     assert len(linked) > 200
     assert sum(found[d] != d for d in linked) >= 0.99 * len(linked)
+
+
+def test_one_member_of_a_crowd_is_near(spark):
+    """A part of one text of a crowd has 0.8 of that text, and a little less of each of the others, which are nearly the same."""
+    rows, expected = [], {}
+    for c in range(4):
+        first = len(rows)
+        base = [f"c{c}w{k}" for k in range(1003)]
+        rows += [base + [f"c{c}own{k}"] for k in range(150)]
+        rows.append(rows[first][-804:])
+        part, own, other = (plain_set(" ".join(rows[k])) for k in (-1, first, first + 1))
+        assert len(part & own) >= 0.8 * len(part | own) and len(part & other) < 0.8 * len(part | other)
+        expected |= {i: first for i in range(first, len(rows))}
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = minhash.group(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["__row"].doc_id: r.component_id for r in got} == expected
+
+
+def test_pairs_of_a_crowd_are_all_met(spark):
+    """Sets of all sizes, many at exactly the similarity, some already in one component."""
+    rng = random.Random(5)
+    sets = []
+    for _ in range(100):
+        s = rng.sample(range(400), rng.choice([1, 2, 4, 5, 9, 10, 20, 45, 90]))
+        for _ in range(rng.randint(1, 8)):
+            sets.append(sorted(s))
+            drop = rng.randint(0, max(1, len(s) // 5))
+            s = rng.sample(s, max(1, len(s) - drop)) + rng.sample(range(400, 800), rng.choice([0, 0, len(s) // 10, len(s) // 5]))
+    sets = [list(s) for s in {tuple(sorted(set(s))) for s in sets}]
+    named = [(bytes([i // 256, i % 256]), s, bytes([rng.randrange(60)])) for i, s in enumerate(sets)]
+    crowd = spark.createDataFrame([(a, len(s), r) for a, s, r in named], "node binary, n long, root binary")
+    grams = spark.createDataFrame([(a, s) for a, s, _ in named], "node binary, grams array<long>")
+    near = minhash._alike(crowd, grams, 0.8)
+    wanted = set()
+    for a, x, r in named:
+        for b, y, q in named:
+            common = len(set(x) & set(y))
+            if a < b and r != q and common >= 0.8 * (len(x) + len(y) - common):
+                wanted.add((a, b))
+    met = [(bytes(p.a), bytes(p.b)) for p in near.collect()]
+    assert len(wanted) > 100 and len(met) == len(set(met)) and wanted <= set(met)
+    root = {a: r for a, _, r in named}
+    assert all(root[a] != root[b] for a, b in met)
