@@ -80,3 +80,16 @@ def test_returns_of_the_panel_are_those_sorted_for(spark):
     assert x.keys() == y.keys() and x
     for k in x:
         assert x[k] == pytest.approx(y[k], rel=1e-9, abs=1e-12, nan_ok=True)
+
+
+def test_vectors_are_not_shuffled_for_each_pair_of_spans(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i:02d}", rng.normal(size=5).tolist(), float(i)) for i in range(50)] + [(None, [1.0] * 5, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, u array<double>, size double")
+    monkeypatch.setattr(rk, "SPAN", 6)
+    pairs = rk.covariance(df, RiskConfig(block_size=3)).pairs()
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = {(r.sym_i, r.sym_j): r.rho for r in pairs.where("sym_i <> sym_j").collect()}
+    known = {a: np.array(u) for a, u, _ in rows if a}
+    assert {k for k in got if None not in k} == {(a, b) for a in known for b in known if a < b}
+    assert all(got[a, b] == pytest.approx(known[a] @ known[b]) for a, b in got)
