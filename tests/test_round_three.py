@@ -93,3 +93,17 @@ def test_vectors_are_not_shuffled_for_each_pair_of_spans(spark, monkeypatch):
     known = {a: np.array(u) for a, u, _ in rows if a}
     assert {k for k in got if None not in k} == {(a, b) for a in known for b in known if a < b}
     assert all(got[a, b] == pytest.approx(known[a] @ known[b]) for a, b in got)
+
+
+def test_covariances_cross_spans_without_a_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    u, size = rng.normal(size=(20, 4)), rng.random(20)
+    df = spark.createDataFrame([(f"s{i:02d}", u[i].tolist(), float(size[i])) for i in range(20)], "symbol string, u array<double>, size double")
+    monkeypatch.setattr(rk, "SPAN", 4)
+    cov = rk.covariance(df, RiskConfig(block_size=2, eps=0.25))
+    pairs = cov.pairs().select("sym_i", "sym_j", "cov")
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    full = (u @ u.T) * np.outer(size, size)
+    np.fill_diagonal(full, size * size + 0.25)
+    got = {(int(r.sym_i[1:]), int(r.sym_j[1:])): r.cov for r in pairs.collect()}
+    assert got == {(i, j): pytest.approx(full[i, j]) for i in range(20) for j in range(i, 20)}
